@@ -34,8 +34,28 @@ def local_session(cpus: int | str = 8, app: str = "lodestack", **conf: str) -> S
     return spark
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+class Shared:
+    """A broadcast with a key by which workers remember what they make of it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.key, self._box = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._box.value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -93,6 +113,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     A scan of a large table has many splits and stays as it is, so nothing is shuffled
     there; only a scan with fewer than two splits a core is dealt out anew.
     """
+    reachable(df.sparkSession)
     n = cores(df.sparkSession)
     if df.rdd.getNumPartitions() >= 2 * n:
         return df
