@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe
+from lodestack.llm import bpe, mixing
 
-MODULES = (bpe,)
+MODULES = (bpe, mixing)
 
 
 def queries() -> dict:
