@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, mixing
+from lodestack.llm import bpe, mixing, neighbours
 
-MODULES = (bpe, mixing)
+MODULES = (bpe, mixing, neighbours)
 
 
 def queries() -> dict:
