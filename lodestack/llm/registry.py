@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, mixing, neighbours
+from lodestack.llm import bpe, mixing, names, neighbours
 
-MODULES = (bpe, mixing, neighbours)
+MODULES = (names, neighbours, bpe, mixing)
 
 
 def queries() -> dict:
