@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, mixing, names, neighbours
+from lodestack.llm import bpe, mixing, names, neighbours, toxicity
 
-MODULES = (names, neighbours, bpe, mixing)
+MODULES = (names, neighbours, bpe, mixing, toxicity)
 
 
 def queries() -> dict:
