@@ -37,6 +37,7 @@ WINDOW, STRIDE = 16, 8
 TABLE, DIM, HIDDEN, ATTENTION = 1 << 15, 24, 24, 16
 GRAMS = 14
 MAX_LABELLED = 6000
+LEAST_STEPS = 400
 MAX_WINDOWS_OF_A_LABELLED_DOCUMENT = 64
 
 # Look-alikes of Latin letters, and digits and signs written for letters.
@@ -318,7 +319,8 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
     held = rng.random(len(docs)) < 0.15
     fit = [i for i in range(len(docs)) if not held[i] and len(mats[i]) and sound[i]]
     trainer = Trainer(net)
-    for epoch in range(epochs):
+    epoch = 0
+    while epoch < epochs or trainer.t < LEAST_STEPS:
         good = [i for i in fit if toxic[i] == 1]
         tops = [int(np.argmax(current[i])) for i in good]
         # The telling words are shown at several places of the window and among other words.
@@ -331,7 +333,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
         x = np.concatenate([pos, neg])
         y = np.concatenate([np.ones(len(pos), np.float32), np.zeros(len(neg), np.float32)])
         order = rng.permutation(len(x))
-        trainer.rate = 0.004 / (1 + epoch)
+        trainer.rate = 0.004 / (1 + trainer.t / 250)
         for lo in range(0, len(x), 256):
             b = order[lo : lo + 256]
             part = np.where(rng.random((len(b), WINDOW)) < 0.12, -1, x[b])
@@ -341,6 +343,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
         scores = score_windows(net, np.concatenate([mats[i] for i in seen]), cells, weights)
         for i, part in zip(seen, np.split(scores, np.cumsum([len(mats[i]) for i in seen])[:-1])):
             current[i] = part
+        epoch += 1
     best = [(float(current[i].max()) if len(mats[i]) else 0.0, int(toxic[i])) for i in range(len(docs)) if held[i] and sound[i]]
     return net, threshold(best)
 
