@@ -284,16 +284,21 @@ def telling(words: list[str], own: int, counts: tuple[Counter, Counter], n: tupl
     return np.array(out, np.float32)
 
 
-def two_means(values: np.ndarray) -> float:
-    """The cut between the two means of values."""
-    low, high = float(values.min()), float(values.max())
+def sound_judgements(most: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether the other documents' words bear out each judgement.
+
+    Abusive documents fall into two groups by two means; where the lower group looks like
+    the fine documents it is doubtful, and so are fine documents that look like the upper.
+    Where it doesn't, only abusive documents that look like fine ones are doubtful.
+    """
+    floor, low, high = float(np.quantile(most[toxic == 0], 0.97)), float(most[toxic == 1].min()), float(most[toxic == 1].max())
     for _ in range(50):
-        cut = (low + high) / 2
-        below, above = values[values <= cut], values[values > cut]
-        if not len(below) or not len(above):
+        below = most[toxic == 1] <= (low + high) / 2
+        if below.all() or not below.any():
             break
-        low, high = float(below.mean()), float(above.mean())
-    return (low + high) / 2
+        low, high = float(most[toxic == 1][below].mean()), float(most[toxic == 1][~below].mean())
+    cut = (low + high) / 2 if low <= floor else floor
+    return np.where(toxic == 1, most > cut, most <= max(cut, floor))
 
 
 def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) -> tuple[Network, float]:
@@ -313,8 +318,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
         starts.append(at)
     # Judgements that the other documents contradict are doubtful and teach nothing.
     most = np.array([s.max() if len(s) else 0.0 for s in current])
-    cut = two_means(most[toxic == 1])
-    sound = (most > cut) == (toxic == 1)
+    sound = sound_judgements(most, toxic)
     cells, weights = vocabulary.arrays()
     held = rng.random(len(docs)) < 0.15
     fit = [i for i in range(len(docs)) if not held[i] and len(mats[i]) and sound[i]]
