@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, mixing, names, neighbours, toxicity
+from lodestack.llm import bpe, mixing, names, neighbours, pairs, toxicity
 
-MODULES = (names, neighbours, bpe, mixing, toxicity)
+MODULES = (names, neighbours, pairs, bpe, mixing, toxicity)
 
 
 def queries() -> dict:
