@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.llm import bpe, mixing, names, neighbours, pairs, toxicity
+from lodestack.llm import bpe, mixing, names, neighbours, pairs, scans, toxicity
 
-MODULES = (names, neighbours, pairs, bpe, mixing, toxicity)
+MODULES = (names, neighbours, scans, pairs, bpe, mixing, toxicity)
 
 
 def queries() -> dict:
