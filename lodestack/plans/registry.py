@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from lodestack.operators import references
+from lodestack.plans import records, searching
+
+BOOKS = (records.book, searching.book)
 
 
 def queries() -> dict:
-    return {**references.QUERIES}
+    return {**references.QUERIES, **{k: q for b in BOOKS for k, q in b.queries.items()}}
 
 
 def oracles() -> dict:
-    return {**references.ORACLES}
+    return {**references.ORACLES, **{k: q for b in BOOKS for k, q in b.oracles.items()}}
