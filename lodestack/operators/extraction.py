@@ -22,7 +22,7 @@ def records(df: DataFrame, response: str, keep: list[str]) -> DataFrame:
 
 def entities(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """name, type and description of the entity records: four fields, a name, a plain type, a description."""
-    f = F.col("fields")
+    f = [F.get("fields", F.lit(i)) for i in range(4)]
     rows = parsed.filter((F.size("fields") == 4) & F.contains(F.lower(f[0]), F.lit("entity"))).select(
         *keep, "pos", identifier(extracted_name(f[1])).alias("name"), F.replace(F.lower(extracted_name(f[2])), F.lit(" "), F.lit("")).alias("type"),
         sanitize(f[3]).alias("description"),
@@ -32,8 +32,8 @@ def entities(parsed: DataFrame, keep: list[str]) -> DataFrame:
 
 def relations(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """src, tgt, keywords, description and weight of the relation records: five fields, two different ends."""
-    f = F.col("fields")
-    weight = F.when(is_number(F.trim(f[4])), F.expr("try_cast(trim(fields[4]) AS double)")).otherwise(F.lit(1.0))
+    f = [F.get("fields", F.lit(i)) for i in range(5)]
+    weight = F.when(is_number(F.trim(f[4])), F.expr("try_cast(trim(get(fields, 4)) AS double)")).otherwise(F.lit(1.0))
     rows = parsed.filter((F.size("fields") == 5) & F.contains(F.lower(f[0]), F.lit("relation"))).select(
         *keep, "pos", identifier(extracted_name(f[1])).alias("src"), identifier(extracted_name(f[2])).alias("tgt"),
         F.replace(f[3], F.lit("，"), F.lit(",")).alias("keywords"), sanitize(f[4]).alias("description"), weight.alias("weight"),
@@ -49,11 +49,12 @@ def gleaned(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cached_extractions(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """workspace, chunk_id, cache_id and rank of the cached extractions of chunks, oldest first, chunks by their oldest."""
+    """workspace, chunk_id, cache_id and rank of the cached extractions of chunks, oldest first."""
     from pyspark.sql import Window as W
 
-    refs = chunks.select("workspace", F.col("id").alias("chunk_id"), F.explode("llm_cache_list").alias("cache_id")).distinct()
-    met = refs.join(cache.filter("cache_type = 'extract'").select("workspace", F.col("id").alias("cache_id"), "create_time"), ["workspace", "cache_id"])
+    refs = chunks.select("workspace", F.col("id").alias("chunk_id")).distinct()
+    calls = cache.filter("cache_type = 'extract'").select("workspace", "chunk_id", F.col("id").alias("cache_id"), "create_time")
+    met = calls.join(refs, ["workspace", "chunk_id"])
     rank = F.row_number().over(W.partitionBy("workspace", "chunk_id").orderBy("create_time", "cache_id")).cast("bigint")
     return met.withColumn("rank", rank).select("workspace", "chunk_id", "cache_id", "rank")
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from lodestack.operators import references
-from lodestack.plans import records, searching
+from lodestack.plans import events, graphs, records, searching
 
-BOOKS = (records.book, searching.book)
+BOOKS = (searching.book, records.book, graphs.book, events.book)
 
 
 def queries() -> dict:

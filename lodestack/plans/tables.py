@@ -95,8 +95,8 @@ SQL = {
 
 def stub_sql(source: str, name: str) -> str:
     """CTE of label and embedding over a CTE with labels."""
-    return f"""{name} AS (SELECT label, embedding FROM {source} JOIN embeddings ON vec_id =
-  (length(label) * 31 + ascii(substr(label, 1, 1)) * 17 + ascii(right(label, 1)) * 7) % (SELECT count(*) FROM embeddings))"""
+    return f"""{name} AS (SELECT x.label, e.embedding FROM {source} x JOIN embeddings e ON e.vec_id =
+  (length(x.label) * 31 + ascii(substr(x.label, 1, 1)) * 17 + ascii(right(x.label, 1)) * 7) % (SELECT count(*) FROM embeddings))"""
 
 
 def cte(*names: str, extra: str = "") -> str:
