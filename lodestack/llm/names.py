@@ -385,7 +385,7 @@ def entities(described_names: DataFrame) -> DataFrame:
 def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     """name_a < name_b for every two spellings of an entity among the distinct values of a column."""
     distinct = cut(spread(names.select(F.col(column).alias("name")).filter(F.trim("name") != "").distinct()))
-    right = cut(spellings(trie_join(words_of(spread(distinct)))))
+    right = cut(spellings(cut(trie_join(words_of(spread(distinct))))))
     found = cut(entities(cut(described(spread(distinct), right))))
     many = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("entity")
     found = found.join(many, "entity")
