@@ -8,9 +8,12 @@ goes against the vector, and because that never falls along a path, keeping the
 leaf are reranked exactly, by blocks of matrix products, and the lists of a vector's
 leaves are merged.
 
-Leaves hold about `leaf_rows` vectors at any size of the data as long as the sample has
-MIN_SAMPLE vectors a leaf; beyond, they grow and the products run in blocks. Vectors
-travel normalised in 16-bit fixed point, which keeps cosines to about 1e-5.
+How many leaves a vector searches and how large they are follows from the data: SAMPLE_QUERIES
+sampled vectors are compared with all others, and of the depths and numbers of leaves by
+which a share `recall` of their nearest is found the cheapest is taken. `probes` and
+`leaf_rows` are the least of both. Leaves also grow where the sample has fewer than
+MIN_SAMPLE vectors a leaf; the products run in blocks. Vectors travel normalised in
+16-bit fixed point, which keeps cosines to about 1e-5.
 
 Vectors that are equal in this form are one class, so that many copies can't fill a leaf:
 a class has its first k + 1 ids as heads, members take each other as neighbours first
@@ -36,7 +39,12 @@ from lodestack.session import Shared, cores, cut, reachable, table
 
 SAMPLE_ROWS = 65_536
 MIN_SAMPLE = 8
+SAMPLE_QUERIES = 256
+MOST_PROBES = 64
+# A further leaf costs a vector as much as so many candidates: its copy and its list are shuffled.
+COPY_COST = 2500
 BLOCK = 512
+BLOCK_CELLS = 1 << 22
 
 
 def pack(flat: np.ndarray) -> np.ndarray:
@@ -149,6 +157,23 @@ class Forest:
                 tree, node, margin, own = tree[rows, best], node[rows, best], margin[rows, best], own[rows, best]
         return (tree << self.depth) + node - ((1 << self.depth) - 1), own
 
+    def cut_at(self, depth: int) -> Forest:
+        """The same trees down to a depth."""
+        out = object.__new__(Forest)
+        n = (1 << depth) - 1
+        out.depth, out.trees, out.planes, out.cuts = depth, self.trees, self.planes[:, :n], self.cuts[:, :n]
+        return out
+
+    def ranks(self, x: np.ndarray, near: np.ndarray, of: np.ndarray, probes: int) -> np.ndarray:
+        """At which of the leaves that row `of` of x searches each row of near is met; `probes` if at none."""
+        leaves, own = self.search(x, probes)
+        order = np.argsort(~own, axis=1, kind="stable")
+        leaves = np.take_along_axis(leaves, order, 1)
+        homes, home = self.search(near, self.trees)
+        homes = homes[home].reshape(len(near), self.trees)
+        met = (leaves[of][:, :, None] == homes[:, None, :]).any(2)
+        return np.where(met.any(1), met.argmax(1), probes)
+
 
 def fit_forest(found: DataFrame, n: int, dim: int, trees: int, leaf_rows: int, sample_rows: int, seed: int) -> Forest:
     """A forest over a sample of at most sample_rows classes."""
@@ -163,12 +188,68 @@ def fit_forest(found: DataFrame, n: int, dim: int, trees: int, leaf_rows: int, s
     return Forest(sample, depth, trees, seed)
 
 
+def true_nearest(found: DataFrame, dim: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sample of vectors, their k nearest among all, and the row of the sample each of these belongs to."""
+    spark, n = found.sparkSession, found.count()
+    rows = found.select("cid", "packed")
+    if n > SAMPLE_QUERIES:
+        rows = rows.orderBy(F.xxhash64(F.lit(seed), "packed")).limit(SAMPLE_QUERIES)
+    picked = rows.toArrow().combine_chunks()
+    x = unpack(picked.column(1).combine_chunks(), dim)
+    shared = Shared(spark, (picked.column(0).to_numpy(), x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        best = np.full((len(ids), 0), 0, np.float32)
+        vectors = np.zeros((len(ids), 0, dim), np.float32)
+        for batch in batches:
+            y = unpack(batch.column(1), dim)
+            far = 1 - queries @ y.T
+            far[ids[:, None] == batch.column(0).to_numpy()] = np.inf
+            m = min(k, len(y))
+            at = np.argpartition(far, m - 1, axis=1)[:, :m]
+            best = np.concatenate([best, np.take_along_axis(far, at, 1)], 1)
+            vectors = np.concatenate([vectors, y[at]], 1)
+            at = np.argsort(best, axis=1, kind="stable")[:, :k]
+            best, vectors = np.take_along_axis(best, at, 1), np.take_along_axis(vectors, at[:, :, None], 1)
+        good = np.isfinite(best)
+        q, d, v = np.nonzero(good)[0], best[good], vectors[good].astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(d), pa.array([r.tobytes() for r in v], pa.binary())], names=["q", "d", "v"])
+
+    lists = found.select("cid", "packed").mapInArrow(run, "q int, d float, v binary")
+    first = W.partitionBy("q").orderBy("d", "v")
+    lists = lists.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("q", "v").toArrow()
+    near = np.frombuffer(b"".join(lists.column(1).to_pylist()), "<f4").reshape(-1, dim)
+    return x, near, lists.column(0).to_numpy()
+
+
+def fitted(forest: Forest, n: int, x: np.ndarray, near: np.ndarray, of: np.ndarray, probes: int, recall: float) -> tuple[Forest, int]:
+    """The forest cut to the depth, and the leaves to search, that find a share `recall` of near at the least cost."""
+    best = None
+    for depth in range(forest.depth, -1, -1):
+        cut_forest = forest.cut_at(depth)
+        leaves = forest.trees << depth
+        most = min(leaves, max(probes, MOST_PROBES))
+        met = np.sort(cut_forest.ranks(x, near, of, most))
+        at = met[min(len(met), max(1, int(np.ceil(recall * len(met))))) - 1] if len(met) else 0
+        if at < most:
+            take = min(leaves, max(probes, int(at) + 1))
+            cost = take * (n / (1 << depth) + COPY_COST)
+            if best is None or cost < best[0]:
+                best = (cost, cut_forest, take)
+    return best[1], max(best[2], forest.trees)
+
+
 def nearest_classes(
-    found: DataFrame, dim: int, k: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int
+    found: DataFrame, dim: int, k: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int, recall: float
 ) -> DataFrame:
     """cid and its nearest classes, in order, as an array of (d, n, c): 1 - cosine, class and its number of heads."""
     spark = found.sparkSession
-    shared = Shared(spark, fit_forest(found, found.count(), dim, trees, leaf_rows, sample_rows, seed))
+    n = found.count()
+    forest = fit_forest(found, n, dim, trees, leaf_rows, sample_rows, seed)
+    if forest.depth:
+        forest, probes = fitted(forest, n, *true_nearest(found, dim, k, seed), probes, recall)
+    shared = Shared(spark, forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
@@ -190,9 +271,10 @@ def nearest_classes(
         x = unpack(group.column("packed").combine_chunks(), dim)
         index, icid, ic = x[own], cid[own], heads[own]
         out_n, out_d, out_c, ends = [], [], [], [0]
-        for lo in range(0, len(x), BLOCK):
-            far = 1 - x[lo : lo + BLOCK] @ index.T
-            far[cid[lo : lo + BLOCK, None] == icid] = np.inf
+        block = max(1, min(BLOCK, BLOCK_CELLS // max(1, len(index))))
+        for lo in range(0, len(x), block):
+            far = 1 - x[lo : lo + block] @ index.T
+            far[cid[lo : lo + block, None] == icid] = np.inf
             m = min(k, far.shape[1])
             if m and m < far.shape[1]:
                 best = np.argpartition(far, m - 1, axis=1)[:, :m]
@@ -225,14 +307,16 @@ def nearest_classes(
 def similar_pairs(
     df: DataFrame, id_col: str = "id", vector_col: str = "content_vector", dim: int = 64, k: int = 10, trees: int = 2,
     probes: int = 5, leaf_rows: int = 1000, sample_rows: int = SAMPLE_ROWS, seed: int = 7,
+    recall: float = 0.95,
 ) -> DataFrame:
     """Pairs id_a < id_b where one is among the other's k most similar.
 
     sample_rows bounds the vectors the trees are fitted on; all are indexed and searched.
+    recall is the share of the k nearest that the search is widened to, by a sample.
     """
     rows = one_vector_per_id(packed_vectors(df, id_col, vector_col, dim))
     found = classes(rows, k)
-    near = nearest_classes(found, dim, k, trees, max(probes, trees), leaf_rows, sample_rows, seed)
+    near = nearest_classes(found, dim, k, trees, max(probes, trees), leaf_rows, sample_rows, seed, recall)
     # With c heads of its own a member needs k - (c - 1) more; `before` counts the heads of nearer classes.
     own = found.select("cid", F.size("heads").alias("own"))
     if found.filter(F.size("heads") > 1).isEmpty():

@@ -29,6 +29,15 @@ def test_recall_and_cases(spark):
     assert not any(x.startswith("n") for p in pairs for x in p)
 
 
+def test_recall_grows_with_the_table(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((200, 32))
+    rows = [(f"r{i:05d}", (centres[i % 200] + 0.8 * rng.standard_normal(32)).tolist()) for i in range(6000)]
+    got = nb.similar_pairs(frame(spark, rows), dim=32, leaf_rows=50).collect()
+    pairs = {(r["id_a"], r["id_b"]) for r in got}
+    assert len(pairs & brute(rows, 10)) / len(brute(rows, 10)) > 0.9
+
+
 def test_copies(spark):
     rng = np.random.default_rng(1)
     hot = rng.standard_normal(8)
