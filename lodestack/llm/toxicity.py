@@ -2,7 +2,7 @@
 
 A bidirectional gated recurrent network with attention pooling reads windows of WINDOW
 words that overlap by half. A word enters as the sum of a word vector and the mean of
-vectors of its character n-grams, both from a hashed table, so that new and misspelt words
+vectors of all its distinct character 3- and 4-grams, both from a hashed table, so that new and misspelt words
 have vectors too. The network is trained in numpy on a bounded sample of the reviewers'
 judgements (at most `max_labelled` documents); every window of every document is scored,
 and a document has the score of its worst window.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,9 @@ from lodestack.session import Shared, spread, table
 
 WINDOW, STRIDE = 16, 8
 TABLE, DIM, HIDDEN, ATTENTION = 1 << 15, 24, 24, 16
-GRAMS = 14
+LEAST_CELLS = 15
+EMBED_BLOCK = 1 << 18
+MOST_CELLS = 1_000_000
 MAX_LABELLED = 6000
 LEAST_STEPS = 400
 MAX_WINDOWS_OF_A_LABELLED_DOCUMENT = 64
@@ -71,17 +74,26 @@ def hashed(text: str) -> int:
 
 
 def word_cells(word: str) -> tuple[list[int], list[float]]:
-    """Cells of the table that a word adds up, with weights: the word and its character 3- and 4-grams."""
-    edged = f"<{word[:40]}>"
+    """Cells of the table that a word adds up, with weights: the word and its distinct character 3- and 4-grams.
+
+    Both are filled up to LEAST_CELLS with cell 0, which is no n-gram's.
+    """
+    edged = f"<{word}>"
     grams = list(dict.fromkeys([edged[i : i + n] for n in (3, 4) for i in range(len(edged) - n + 1)]))
-    step = max(1, -(-len(grams) // GRAMS))
-    grams = grams[::step][:GRAMS]
     cells = [hashed(f"w {word}")] + [hashed(g) for g in grams]
     weights = [1.0] + [1.0 / len(grams)] * len(grams)
-    pad = GRAMS + 1 - len(cells)
+    pad = LEAST_CELLS - len(cells)
     return cells + [0] * pad, weights + [0.0] * pad
 
 
+def taken(cells: np.ndarray, weights: np.ndarray, starts: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cells, weights and starts of some words only, in their order."""
+    lengths = np.diff(starts, append=len(cells))[used]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.repeat(starts[used] - first[:-1], lengths) + np.arange(first[-1])
+    return cells[at], weights[at], first[:-1]
+
+
 def windows(n: int) -> list[int]:
     """Starts of the overlapping windows over n words."""
     return list(range(0, max(1, n - WINDOW + STRIDE), STRIDE)) if n else []
@@ -108,8 +120,18 @@ class Network:
         self.p["out"] = (rng.standard_normal(2 * HIDDEN) / np.sqrt(2 * HIDDEN)).astype(f)
         self.p["bias"] = np.zeros(1, f)
 
-    def embed(self, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return np.einsum("wk,wkd->wd", weights, self.p["table"][cells])
+    def embed(self, cells: np.ndarray, weights: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """Vectors of words; cells and weights are flat with each word's first place in starts, or matrices."""
+        if starts is None:
+            starts, cells, weights = np.arange(len(cells)) * cells.shape[1], cells.ravel(), weights.ravel()
+        owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(cells)))
+        out = np.zeros((len(starts), DIM), np.result_type(weights, self.p["table"]))
+        for lo in range(0, len(cells), EMBED_BLOCK):
+            hi = lo + EMBED_BLOCK
+            own = owner[lo:hi]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[first]] += np.add.reduceat(weights[lo:hi, None] * self.p["table"][cells[lo:hi]], first, axis=0)
+        return out
 
     def run_side(self, pre: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (steps, rows, HIDDEN) of one direction over pre (steps, rows, 3 HIDDEN)."""
@@ -143,10 +165,10 @@ class Network:
             keep.update(h=h, a=a, w=w, pooled=pooled, tapes=tapes, mask=mask)
         return pooled @ self.p["out"] + self.p["bias"][0]
 
-    def gradients(self, ids: np.ndarray, cells: np.ndarray, weights: np.ndarray, goal: np.ndarray, scale: np.ndarray):
+    def gradients(self, ids: np.ndarray, cells: np.ndarray, weights: np.ndarray, goal: np.ndarray, scale: np.ndarray, starts: np.ndarray | None = None):
         """Loss and gradients for windows ids (rows, steps; -1 is no word) of words with cells and weights."""
         mask = (ids >= 0).T
-        v = self.embed(cells, weights)
+        v = self.embed(cells, weights, starts)
         x = np.where(mask[:, :, None], v[np.maximum(ids, 0).T], 0)
         keep: dict = {}
         logit = self.forward(x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"], mask, keep)
@@ -198,18 +220,20 @@ class Trainer:
         self.v = {k: np.zeros_like(p) for k, p in self.m.items()}
         self.seen = np.full(TABLE, 0.1, np.float32)
 
-    def step(self, ids: np.ndarray, cells: np.ndarray, weights: np.ndarray, goal: np.ndarray, scale: np.ndarray) -> float:
+    def step(self, ids: np.ndarray, cells: np.ndarray, weights: np.ndarray, starts: np.ndarray, goal: np.ndarray, scale: np.ndarray) -> float:
         used, back = np.unique(np.maximum(ids, 0), return_inverse=True)
         local = np.where(ids >= 0, back.reshape(ids.shape), -1)
-        loss, g, dv = self.net.gradients(local, cells[used], weights[used], goal, scale)
+        cells, weights, starts = taken(cells, weights, starts, used)
+        loss, g, dv = self.net.gradients(local, cells, weights, goal, scale, starts)
         self.t += 1
         for k, grad in g.items():
             self.m[k] += 0.1 * (grad - self.m[k])
             self.v[k] += 0.001 * (grad * grad - self.v[k])
             self.net.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)
-        rows, at = np.unique(cells[used], return_inverse=True)
+        rows, at = np.unique(cells, return_inverse=True)
+        owner = np.repeat(np.arange(len(used)), np.diff(starts, append=len(cells)))
         sums = np.zeros((len(rows), DIM), np.float32)
-        np.add.at(sums, at.ravel(), (weights[used][:, :, None] * dv[:, None, :]).reshape(-1, DIM))
+        np.add.at(sums, at, weights[:, None] * dv[owner])
         self.seen[rows] += (sums * sums).mean(1) * 1e3
         self.net.p["table"][rows] -= 0.05 * sums / np.sqrt(self.seen[rows])[:, None] * 10
         self.net.p["table"][0] = 0
@@ -221,23 +245,25 @@ class Vocabulary:
 
     def __init__(self):
         self.ids: dict[str, int] = {}
-        self.cells: list[list[int]] = []
-        self.weights: list[list[float]] = []
+        self.cells, self.weights, self.starts = array("i"), array("f"), array("q")
 
     def add(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), np.int32)
         for i, w in enumerate(words):
             n = self.ids.get(w)
             if n is None:
-                n = self.ids[w] = len(self.cells)
+                n = self.ids[w] = len(self.starts)
+                self.starts.append(len(self.cells))
                 cells, weights = word_cells(w)
-                self.cells.append(cells)
-                self.weights.append(weights)
+                own = cells.index(0) if cells[-1] == 0 else len(cells)
+                self.cells.extend(cells[:own])
+                self.weights.extend(weights[:own])
             out[i] = n
         return out
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.cells, np.int32), np.array(self.weights, np.float32)
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells and weights of all words, and where each word's begin."""
+        return np.array(self.cells, np.int32), np.array(self.weights, np.float32), np.array(self.starts, np.int64)
 
 
 def window_matrix(ids: np.ndarray) -> np.ndarray:
@@ -319,7 +345,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
     # Judgements that the other documents contradict are doubtful and teach nothing.
     most = np.array([s.max() if len(s) else 0.0 for s in current])
     sound = sound_judgements(most, toxic)
-    cells, weights = vocabulary.arrays()
+    flat = vocabulary.arrays()
     held = rng.random(len(docs)) < 0.15
     fit = [i for i in range(len(docs)) if not held[i] and len(mats[i]) and sound[i]]
     trainer = Trainer(net)
@@ -342,9 +368,9 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
             b = order[lo : lo + 256]
             part = np.where(rng.random((len(b), WINDOW)) < 0.12, -1, x[b])
             part[:, 0] = np.where((part >= 0).any(1), part[:, 0], x[b][:, 0])
-            trainer.step(part, cells, weights, y[b], np.ones(len(b), np.float32))
+            trainer.step(part, *flat, y[b], np.ones(len(b), np.float32))
         seen = [i for i in range(len(docs)) if len(mats[i]) and sound[i] and (toxic[i] == 1 or held[i])]
-        scores = score_windows(net, np.concatenate([mats[i] for i in seen]), cells, weights)
+        scores = score_windows(net, np.concatenate([mats[i] for i in seen]), *flat)
         for i, part in zip(seen, np.split(scores, np.cumsum([len(mats[i]) for i in seen])[:-1])):
             current[i] = part
         epoch += 1
@@ -363,12 +389,12 @@ def threshold(scored: list[tuple[float, int]]) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-def score_windows(net: Network, mat: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def score_windows(net: Network, mat: np.ndarray, cells: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Scores of windows of word numbers; the words' input products are made once a word."""
     out = np.empty(len(mat), np.float32)
     used, back = np.unique(np.maximum(mat, 0), return_inverse=True)
     back = back.reshape(mat.shape)
-    v = net.embed(cells[used], weights[used])
+    v = net.embed(*taken(cells, weights, starts, used))
     pre = [v @ net.p["x" + s] + net.p["b" + s] for s in "fb"]
     for lo in range(0, len(mat), 1024):
         at, mask = back[lo : lo + 1024].T, (mat[lo : lo + 1024] >= 0).T
@@ -412,7 +438,7 @@ def scored(documents: DataFrame, labels: DataFrame, keep: list[str], max_labelle
             lo = 0
             texts = batch["text"].tolist()
             while lo < len(texts):
-                if len(_STATE["vocabulary"].cells) > 60_000:
+                if len(_STATE["vocabulary"].starts) > 60_000 or len(_STATE["vocabulary"].cells) > MOST_CELLS:
                     _STATE["vocabulary"] = Vocabulary()
                 mats, owner, hi, size = [], [], lo, 0
                 while hi < len(texts) and (hi == lo or size < 20_000):
@@ -423,8 +449,8 @@ def scored(documents: DataFrame, labels: DataFrame, keep: list[str], max_labelle
                         size += len(m)
                     hi += 1
                 if mats:
-                    cells, weights = _STATE["vocabulary"].arrays()
-                    np.maximum.at(best, np.concatenate(owner), score_windows(_STATE["net"], np.concatenate(mats), cells, weights))
+                    vocabulary = _STATE["vocabulary"].arrays()
+                    np.maximum.at(best, np.concatenate(owner), score_windows(_STATE["net"], np.concatenate(mats), *vocabulary))
                 lo = hi
             yield batch[keep].assign(score=best.round(6), flagged=best >= limit)
 

@@ -23,6 +23,19 @@ def test_windows_cover_everything():
     assert tx.windows(0) == []
 
 
+@pytest.mark.parametrize("word", ["disgusting", "x" + "worthless" * 9, "ab"])
+def test_all_grams_of_a_word(word):
+    cells, weights = tx.word_cells(word)
+    edged = f"<{word}>"
+    grams = {edged[i : i + n] for n in (3, 4) for i in range(len(edged) - n + 1)}
+    assert {tx.hashed(g) for g in grams} | {tx.hashed(f"w {word}")} == set(cells) - {0}
+    assert abs(sum(weights) - 2) < 1e-6
+    v = tx.Vocabulary()
+    v.add(["pump", word, "harbour"])
+    want = np.array(weights) @ tx.Network(3).p["table"][cells]
+    assert np.allclose(tx.Network(3).embed(*v.arrays())[1], want, atol=1e-6)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = tx.Network(3)
