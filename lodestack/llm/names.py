@@ -4,7 +4,9 @@
    segments, of which one survives any single edit, and meet in the shard of a shared
    segment; each shard's words form a trie, which a Levenshtein automaton (with
    transpositions) of the other words traverses. A rare word within distance 1 of a
-   better attested one is its misspelling.
+   better attested one is its misspelling, and so is a word of LONG_WORD or more letters
+   within distance 2 (ph for f, two typos). Pairs of distance 2 meet by equal words after
+   at most two deletions, or, if longer than MOST_DELETED, by one of five segments.
 2. Words are put in their attested spelling, known abbreviations of organisations are
    written out, titles, articles and bracketed acronyms dropped.
 3. Token order is settled by keys that are equal for every permutation of a name's words.
@@ -33,6 +35,8 @@ from lodestack.session import cores, cut, spread, table
 
 MAX_WORDS = 12
 MIN_WORD = 4
+LONG_WORD = 8
+MOST_DELETED = 24
 
 # Words of names.
 TITLES = frozenset("prof dr eng mr mrs ms miss sir dame ir ing rev hon mag dipl phd".split())
@@ -170,24 +174,30 @@ def neighbours(trie: dict, word: str, d: int = 1) -> list[tuple[str, int]]:
     return found
 
 
-def segments(n: int) -> list[tuple[int, int]]:
-    """Three nearly equal spans of a word of n letters; one edit leaves one of them whole."""
-    a, b = n // 3, (2 * n) // 3
-    return [(0, a), (a, b), (b, n)]
+def segments(n: int, d: int = 1) -> list[tuple[int, int]]:
+    """2 d + 1 nearly equal spans of a word of n letters; d edits leave one of them whole."""
+    ends = [n * i // (2 * d + 1) for i in range(2 * d + 2)]
+    return list(zip(ends, ends[1:]))
 
 
-def shard_keys(word: str) -> tuple[list[str], list[str]]:
+def shard_keys(word: str, d: int = 1) -> tuple[list[str], list[str]]:
     """Keys under which a word is stored, and keys under which it looks for words not longer."""
     n = len(word)
-    own = [f"{n}:{i}:{word[lo:hi]}" for i, (lo, hi) in enumerate(segments(n))]
+    own = [f"{n}:{i}:{word[lo:hi]}" for i, (lo, hi) in enumerate(segments(n, d))]
     probes = {
         f"{m}:{i}:{word[lo + s : hi + s]}"
-        for m in (n - 1, n) if m >= MIN_WORD - 1
-        for i, (lo, hi) in enumerate(segments(m)) for s in (-1, 0, 1) if lo + s >= 0 and hi + s <= n
+        for m in range(n - d, n + 1) if m >= MIN_WORD - 1
+        for i, (lo, hi) in enumerate(segments(m, d)) for s in range(-d, d + 1) if lo + s >= 0 and hi + s <= n
     }
     return own, sorted(probes)
 
 
+def deletions(word: str) -> set[str]:
+    """What is left of a word after at most two deletions; words within distance 2 have one of these in common."""
+    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | once | {w[:i] + w[i + 1 :] for w in once for i in range(len(w))}
+
+
 def words_of(names: DataFrame) -> DataFrame:
     """word and the number of names that have it, for the words that may be misspelt or attest others."""
 
@@ -206,7 +216,7 @@ def trie_join(words: DataFrame, d: int = 1) -> DataFrame:
         for batch in batches:
             rows = []
             for word, names in zip(batch["word"], batch["names"]):
-                own, probes = shard_keys(word)
+                own, probes = shard_keys(word, d)
                 rows += [(k, True, word, names) for k in own] + [(k, False, word, names) for k in probes]
             yield pd.DataFrame(rows, columns=["key", "stored", "word", "names"])
 
@@ -227,21 +237,62 @@ def trie_join(words: DataFrame, d: int = 1) -> DataFrame:
     return keyed.groupBy("shard").applyInPandas(join, "a string, a_names bigint, b string, b_names bigint").distinct()
 
 
+def deletion_join(words: DataFrame) -> DataFrame:
+    """Pairs of different words within distance 2, with the number of names of each."""
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                part = batch.iloc[lo : lo + 2000]
+                rows = [(k, word, names) for word, names in zip(part["word"], part["names"]) for k in deletions(word)]
+                yield pd.DataFrame(rows, columns=["key", "word", "names"])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for met in batch["met"]:
+                own = [(m["word"], m["names"]) for m in met]
+                trie = build_trie(own)
+                rows += [(word, names, other, n) for word, names in own for other, n in neighbours(trie, word, 2) if other < word]
+            yield pd.DataFrame(rows, columns=["a", "a_names", "b", "b_names"])
+
+    keyed = spread(words).mapInPandas(spell, "key string, word string, names bigint")
+    met = keyed.groupBy("key").agg(F.collect_list(F.struct("word", "names")).alias("met")).filter(F.size("met") > 1)
+    # Most pairs meet under many keys; only one group of each set of words is searched.
+    met = met.select(F.array_sort("met").alias("met")).distinct()
+    return met.mapInPandas(join, "a string, a_names bigint, b string, b_names bigint").distinct()
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """Pairs of different words within distance 1 (edits 1), of long words within distance 2 (edits 2)."""
+    words = cut(words)
+    long_words = words.filter(F.length("word") >= LONG_WORD)
+    twice = deletion_join(long_words.filter(F.length("word") <= MOST_DELETED))
+    twice = twice.unionByName(trie_join(long_words.filter(F.length("word") >= MOST_DELETED - 1), 2))
+    return trie_join(words).withColumn("edits", F.lit(1)).unionByName(twice.withColumn("edits", F.lit(2)))
+
+
 def spellings(pairs: DataFrame) -> DataFrame:
     """word -> right: misspelt words with their attested spelling.
 
-    A long word yields to any better attested one; a short one only to one with many
-    times its names, since short words are near each other by chance. Words of the fixed
-    lists never yield.
+    A long word yields to any better attested one, first to one of distance 1; a short one
+    only to one with many times its names, since short words are near each other by
+    chance. Words of the fixed lists never yield.
     """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b_names").alias("a_names"), F.col("a").alias("b"), F.col("a_names").alias("b_names")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b_names").alias("a_names"), F.col("a").alias("b"), F.col("a_names").alias("b_names"), "edits"))
     better = (F.col("b_names") > F.col("a_names")) | ((F.col("b_names") == F.col("a_names")) & (F.col("b") < F.col("a")))
     long_enough = (F.length("a") >= 8) & ((F.col("a_names") <= 2) | (F.col("b_names") >= 3 * F.col("a_names")))
     often = F.when(F.length("a") >= 6, 2).otherwise(4)
     usable = both.filter(better & (long_enough | (F.col("b_names") >= often * F.col("a_names")))).filter(~F.col("a").isin(sorted(SETTLED)))
-    best = usable.groupBy("a").agg(F.max_by("b", F.struct("b_names", F.col("b"))).alias("b"))
-    onward = best.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    return best.join(onward, "b", "left").select(F.col("a").alias("word"), F.coalesce("c", "b").alias("right"))
+    best = usable.groupBy("a").agg(F.max_by("b", F.struct(-F.col("edits"), "b_names", F.col("b"))).alias("b"))
+    # Spellings that yield in turn are followed to the last one, twice as far each time.
+    best = cut(best)
+    while True:
+        onward = best.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        moved = best.join(onward, "b", "left")
+        if moved.filter("c IS NOT NULL").isEmpty():
+            return best.select(F.col("a").alias("word"), F.col("b").alias("right"))
+        best = cut(moved.select("a", F.coalesce("c", "b").alias("b")))
 
 
 def describe(name: str, right: dict[str, str]) -> dict:
@@ -385,7 +436,7 @@ def entities(described_names: DataFrame) -> DataFrame:
 def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
     """name_a < name_b for every two spellings of an entity among the distinct values of a column."""
     distinct = cut(spread(names.select(F.col(column).alias("name")).filter(F.trim("name") != "").distinct()))
-    right = cut(spellings(cut(trie_join(words_of(spread(distinct))))))
+    right = spellings(cut(near_words(words_of(spread(distinct)))))
     found = cut(entities(cut(described(spread(distinct), right))))
     many = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("entity")
     found = found.join(many, "entity")

@@ -35,6 +35,30 @@ def test_shards_lose_no_pair():
             assert set(nm.shard_keys(long)[1]) & set(nm.shard_keys(short)[0]), (a, b)
 
 
+def test_two_edits_lose_no_pair():
+    rng = random.Random(4)
+    for _ in range(3000):
+        a = b = "".join(rng.choice("abcd") for _ in range(rng.randint(8, 30)))
+        for _ in range(2):
+            i, kind = rng.randrange(len(b)), rng.randrange(4)
+            b = (b[:i] + b[i + 1 :], b[:i] + rng.choice("abcd") + b[i:], b[:i] + rng.choice("abcd") + b[i + 1 :], b[:i] + b[i : i + 2][::-1] + b[i + 2 :])[kind]
+        if osa(a, b) <= 2:
+            long, short = sorted((a, b), key=len, reverse=True)
+            assert nm.deletions(a) & nm.deletions(b), (a, b)
+            assert set(nm.shard_keys(long, 2)[1]) & set(nm.shard_keys(short, 2)[0]), (a, b)
+
+
+def test_two_edits(spark):
+    groups = [
+        ["Julien Gimifazegan", "Gimifazegan, Julien", "J. Gimifazegan", "Julien Gimiphazegan"],
+        ["Rosa Fypotefemok", "Fypotefemok, Rosa", "Rosa N. Fypotefemok", "Rosa Fypotephemok"],
+        ["Ada " + "Norilyvimyt" * 3, "A. " + "Norilyvimyt" * 3, "Norilyvimyt" * 3 + ", Ada", "Ada Morilyvimyt" + "norilyvimyt" + "norilyvimyd"],
+        ["Helmut Wituesudi", "Wituhsudi, Helmut", "Helmut Wituhesudi", "Helmut Wiituhesudi"],
+    ]
+    got = {(r["name_a"], r["name_b"]) for r in nm.variant_pairs(spark.createDataFrame([(n,) for g in groups for n in g], "name string")).collect()}
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
 GROUPS = [
     ["Dimitri H. Rivybewurun", "Dimitri Rivybewurún", "Rivybewurun, Dimitri", "D. H. Rivybewurun", "Dimi. Rivybewurun", "DIMITRI RIVYBEWURUN", "Dimitri  Rivybewurnu"],
     ["Edward Rivybewurun", "Ted Rivybewurun", "E. Rivybewurun", "Rivybewurun Edward", "Prof. Dr. Edward Rivybewurun"],
