@@ -115,7 +115,7 @@ def line_features(lines: list[str]) -> tuple[list[int], np.ndarray]:
             chain[i] = ok
     feed = np.array(["\x0c" in lines[i] or (i + 1 < len(lines) and "\x0c" in lines[i + 1]) for i in at])
     mark = np.array([bool(p) and (p[1] in (1, 2, 3) or bool(c)) for p, c in zip(pages, chain)])
-    skeletons = [skeleton(s) if len(s) <= 90 and not r else "" for s, r in zip(text, rows)]
+    skeletons = [skeleton(s) if not r else "" for s, r in zip(text, rows)]
     groups: dict[str, list[int]] = defaultdict(list)
     for i, k in enumerate(skeletons):
         if len(k) >= 4:
@@ -189,21 +189,42 @@ def line_features(lines: list[str]) -> tuple[list[int], np.ndarray]:
     return at, x
 
 
+def _occurrences(key: str) -> list[tuple[str, int]]:
+    """The pairs of letters of a key, each with how often it has occurred before."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(key) - 1):
+        g = key[i : i + 2]
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return out
+
+
 def _merge_like(groups: dict[str, list[int]]) -> None:
-    """Join groups of lines whose skeletons differ in few letters."""
-    keys = sorted((k for k in groups if 6 <= len(k) <= 70), key=lambda k: -len(groups[k]))
-    if len(keys) > 400:
-        keys = [k for k in keys if len(groups[k]) > 1] + [k for k in keys if len(groups[k]) == 1 and len(k) <= 40]
-    grams = {k: Counter(k[i : i + 2] for i in range(len(k) - 1)) for k in keys}
-    heads = [k for k in keys if len(groups[k]) > 1][:40]
+    """Join groups of lines whose skeletons differ in few letters.
+
+    A key meets the heads that have one of its rarest pairs of letters, of which it takes so
+    many that no head with enough pairs in common is missed; the first such head gets it.
+    """
+    keys = sorted((k for k in groups if len(k) >= 6), key=lambda k: -len(groups[k]))
+    grams = {k: _occurrences(k) for k in keys}
+    heads = [k for k in keys if len(groups[k]) > 1]
+    index: dict[tuple[tuple[str, int], int], list[int]] = defaultdict(list)
+    often: Counter = Counter()
+    for n, head in enumerate(heads):
+        for g in grams[head]:
+            index[g, len(head)].append(n)
+            often[g] += 1
     for k in keys:
-        if k not in groups:
-            continue
-        for head in heads:
-            if head == k or head not in groups or len(groups[head]) < len(groups[k]) or abs(len(head) - len(k)) > 3:
+        need = max(1, int(np.ceil(0.72 * len(k) - 1)))
+        rarest = sorted(grams[k], key=lambda g: often[g])[: len(grams[k]) - need + 1]
+        near = {n for g in rarest for size in range(len(k) - 3, len(k) + 4) for n in index.get((g, size), ())}
+        own = set(grams[k])
+        for n in sorted(near):
+            head = heads[n]
+            if head == k or head not in groups or len(groups[head]) < len(groups[k]):
                 continue
-            shared = sum((grams[k] & grams[head]).values())
-            if shared >= 0.72 * max(len(k), len(head)) - 1:
+            if len(own.intersection(grams[head])) >= 0.72 * max(len(k), len(head)) - 1:
                 groups[head] = sorted(groups[head] + groups.pop(k))
                 break
 

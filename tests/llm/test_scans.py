@@ -65,6 +65,19 @@ def test_repair():
     assert S.repair("", [], []) == ""
 
 
+def test_like_lines_of_a_long_document():
+    rng = np.random.default_rng(5)
+    made = lambda n: "".join(rng.choice(list("abcdfgklmnopqrstwxyz"), n))
+    heads = [made(int(n)) for n in rng.integers(30, 110, 60)]
+    groups = {h: [2 * i, 2 * i + 1] for i, h in enumerate(heads)}
+    groups |= {made(50): [1000 + i] for i in range(600)}
+    like = {h[:9] + "zz" + h[11:]: h for h in heads}
+    groups |= {k: [5000 + i] for i, k in enumerate(like)}
+    G._merge_like(groups)
+    assert all(k == h or (k not in groups and 5000 + i in groups[h]) for i, (k, h) in enumerate(like.items()))
+    assert len(groups) == 660
+
+
 def test_whole_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "ekr_doc_full")
     found = S.analyse(docs, sample_docs=100, sample_words=800)
