@@ -1,15 +1,16 @@
 """Scores for abusive, hateful or sexual content (problem 8).
 
 A bidirectional gated recurrent network with attention pooling reads windows of WINDOW
-words that overlap by half. A word enters as the sum of a word vector and the mean of
-vectors of all its distinct character 3- and 4-grams, both from a hashed table, so that new and misspelt words
-have vectors too. The network is trained in numpy on a bounded sample of the reviewers'
+words that overlap by half; in scripts without spaces every character is a word. A word
+enters as the sum of a word vector and the mean of vectors of all its distinct character
+3- and 4-grams, both from a hashed table, so that new and misspelt words have vectors too. The network is trained in numpy on a bounded sample of the reviewers'
 judgements (at most `max_labelled` documents); every window of every document is scored,
 and a document has the score of its worst window.
 
 Reviewers judge documents, not windows, and some are wrong. The windows that count as
 abusive are at first those with the most telling words, later those the network itself
-scores highest. A judgement that the words of all other judged documents contradict is
+scores highest, among all windows of the document. Every epoch reads up to NEGATIVES windows
+of each fine document, drawn anew from all of them. A judgement that the words of all other judged documents contradict is
 doubtful and left out of the training.
 
 Defined cases: null, empty and wordless texts have score 0; repeated texts have equal
@@ -41,7 +42,7 @@ EMBED_BLOCK = 1 << 18
 MOST_CELLS = 1_000_000
 MAX_LABELLED = 6000
 LEAST_STEPS = 400
-MAX_WINDOWS_OF_A_LABELLED_DOCUMENT = 64
+NEGATIVES = 64
 
 # Look-alikes of Latin letters, and digits and signs written for letters.
 LOOKALIKES = str.maketrans("асеорхуіјѕкмтвнαορυικτνеԁɡıłøđ", "aceopxyijskmtbhaopuiktvedgilod")
@@ -50,7 +51,9 @@ LEET = str.maketrans("01345789@$!|", "oieastbgasil")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
 _DOTTED = re.compile(r"(?<=[^\W\d_])[.\-_](?=[^\W\d_][.\-_]|[^\W\d_]\b)")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
-_WORD = re.compile(r"[^\W_](?:[\w@$*!|'’]*[\w*])?")
+# Ranges of the scripts that put no spaces between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}](?:(?:[^\W{_UNSPACED}]|[@$*!|'’])*(?:[^\W{_UNSPACED}]|\*))?")
 
 
 def words_of(text: str) -> list[str]:
@@ -336,9 +339,6 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
     mats, current, starts, numbers = [], [], [], [vocabulary.add(w) for w in words]
     for w, ids, y in zip(words, numbers, toxic):
         m, score, at = window_matrix(ids), telling(w, int(y), counts, n), np.array(windows(len(w)), np.int64)
-        if len(m) > MAX_WINDOWS_OF_A_LABELLED_DOCUMENT:
-            take = np.sort(np.argsort(-score, kind="stable")[:MAX_WINDOWS_OF_A_LABELLED_DOCUMENT])
-            m, score, at = m[take], score[take], at[take]
         mats.append(m)
         current.append(score)
         starts.append(at)
@@ -356,7 +356,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
         # The telling words are shown at several places of the window and among other words.
         pos = [mats[i][t] for i, t in zip(good, tops)]
         pos += [shifted(numbers[i], int(starts[i][t]) + int(by)) for i, t in zip(good, tops) for by in rng.integers(-5, 6, 3)]
-        neg = [m for i in fit if toxic[i] == 0 for m in mats[i]]
+        neg = [m for i in fit if toxic[i] == 0 for m in (mats[i] if len(mats[i]) <= NEGATIVES else mats[i][rng.choice(len(mats[i]), NEGATIVES, replace=False)])]
         if not pos or not neg:
             return net, 2.0
         pos, neg = np.array(pos), np.array(neg)

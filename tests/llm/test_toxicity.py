@@ -10,6 +10,7 @@ from lodestack.session import table
     ("he s.p.r.e.a.d her", ["he", "spread", "her"]),
     ("сlісk for blooowjobs", ["click", "for", "blowjobs"]),
     ("4brut1 c4m3 IMBÉCIIIIL", ["abruti", "came", "imbecil"]),
+    ("水泵 ok テスト", ["水", "泵", "ok", "テ", "ス", "ト"]), ("x" * 300, ["x"]), ("ab" * 200, ["ab" * 200]),
     ("", []), (" \n​", []),
 ])
 def test_words(text, words):
@@ -75,3 +76,13 @@ def test_frames(spark, sf):
     labels = table(spark, sf, "doc_labels")
     small = tx.scored(table(spark, sf, "documents").select("doc_id", "text"), labels, ["doc_id"])
     assert small.count() == table(spark, sf, "documents").count()
+
+
+def test_a_late_passage_of_a_long_judged_document_teaches():
+    fine = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(40)) for i in range(120)]
+    bad = [" ".join(f"w{(i * 5 + j) % 90}" for j in range(1500)) + " you rotten scumbag go away" for i in range(40)]
+    net, limit = tx.train(fine + bad, np.array([0] * 120 + [1] * 40))
+    v = tx.Vocabulary()
+    m = tx.window_matrix(v.add(tx.words_of(bad[3])))
+    got = tx.score_windows(net, m, *v.arrays())
+    assert len(m) > tx.NEGATIVES and got.argmax() >= len(m) - 2 and got.max() >= limit > np.median(got)
