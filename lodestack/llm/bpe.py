@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -230,22 +230,25 @@ def _encoder(pairs: Shared) -> Encoder:
 
 
 def encode_column(
-    df: DataFrame, text: str, out: str = "ids", path: str | None = None, count_only: bool = False
+    df: DataFrame, text: str, out: str = "ids", path: str | None = None, count_only: bool = False,
+    also: tuple[str, Callable[[list[str | None]], np.ndarray]] | None = None,
 ) -> DataFrame:
     """df's other columns and the ids (or, with count_only, their number as bigint) of `text`.
 
     The text itself isn't returned. A null text has no ids, so it counts 0. A column of
-    df that is already called `out` is an error.
+    df that is already called `out` is an error. `also` is the name of a further column of
+    doubles and what makes it of the texts, in the same pass.
     """
     keep = [c for c in df.columns if c != text]
-    if out in keep:
-        raise ValueError(f"there is a column named {out} already")
+    if out in keep or (also and also[0] in keep):
+        raise ValueError(f"there is a column named {out if out in keep else also[0]} already")
     pairs = shared_pairs(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(pairs)
         for batch in batches:
-            lists = encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            lists = encoder.encode(texts)
             others = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             if count_only:
                 ids = pa.array([len(x) for x in lists], pa.int64())
@@ -256,10 +259,11 @@ def encode_column(
                     offsets.append(offsets[-1] + len(x))
                 values = pa.array(np.concatenate(flat) if flat else np.array([], np.int32), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*others, ids], names=[*keep, out])
+            more = [pa.array(also[1](texts), pa.float64())] if also else []
+            yield pa.RecordBatch.from_arrays([*others, ids, *more], names=[*keep, out, *([also[0]] if also else [])])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` {'bigint' if count_only else 'array<int>'}"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` {'bigint' if count_only else 'array<int>'}", *([f"`{also[0]}` double"] if also else [])])
     return spread(df).mapInArrow(run, schema)
 
 

@@ -15,10 +15,14 @@
 
 No block of names is compared pairwise; all matching is by equality of keys.
 
+Words the lists lack are learnt: a short word stands for a longer one that it abbreviates by
+its letters if both occur with the same other words in LEAST_CONTEXTS names, and no other
+long word does so half as often.
+
 Defined cases: null and blank names and names without letters take no part; a name with
-digits only matches names with the same digits; names over MAX_WORDS words match by their
-whole set of words alone; a shortened name that fits several full names joins none; names
-of one spelling give no pairs; repeated names count once.
+digits only matches names with the same digits; a shortened name that fits several full
+names joins none and is reported by ambiguous_names(); names of one spelling give no pairs;
+repeated names count once.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.operators.skew import lookup_join
 from lodestack.session import cores, cut, spread, table
 
-MAX_WORDS = 12
+LEAST_CONTEXTS = 3
 MIN_WORD = 4
 LONG_WORD = 8
 MOST_DELETED = 24
@@ -298,9 +303,9 @@ def spellings(pairs: DataFrame) -> DataFrame:
 def describe(name: str, right: dict[str, str]) -> dict:
     """What a name says: its key if full, the keys it emits, the keys it looks for (strongest first).
 
-    right gives the attested spelling of misspelt words.
+    right gives the attested spelling of misspelt words and what learnt abbreviations stand for.
     """
-    toks = [(right.get(t, t) if kind == "word" else t, kind) for t, kind in tokens(name)]
+    toks = [(right.get(t, t), "word" if kind == "cut" and t in right else kind) if kind in ("word", "cut") else (t, kind) for t, kind in tokens(name)]
     org = any(kind in ("word", "cut") and (t in ORG_FULL or ORG_WORDS.get(t) in ORG_FULL and len(t) > 1) for t, kind in toks)
     comma = next((i for i, (_, kind) in enumerate(toks) if kind == "comma"), None)
     legal, words, initials, cuts, acronyms, codes = "", [], [], [], [], []
@@ -327,7 +332,7 @@ def describe(name: str, right: dict[str, str]) -> dict:
             words.append(t)
     out = {"full": None, "emit": [], "seek": [], "mark": "", "short": False}
     plain = [w for w in words if w not in PARTICLES]
-    if codes or len(words) > MAX_WORDS:
+    if codes:
         out["full"] = " ".join(sorted(words) + sorted(codes)) if words or codes else None
         return out
     if org:
@@ -395,7 +400,7 @@ def described(names: DataFrame, right: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(n, w) for n in batch["name"] for w in {t for t, k in tokens(n) if k == "word" and len(t) >= MIN_WORD - 1 and t not in SETTLED}]
+            rows = [(n, w) for n in batch["name"] for w in {t for t, k in tokens(n) if (k == "cut" or k == "word" and len(t) > 1) and t not in SETTLED}]
             yield pd.DataFrame(rows, columns=["name", "word"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -407,8 +412,9 @@ def described(names: DataFrame, right: DataFrame) -> DataFrame:
                     rows.append((name, x["full"], x["mark"], x["short"], x["emit"], x["seek"]))
             yield pd.DataFrame(rows, columns=["name", "full", "mark", "short", "emit", "seek"])
 
+    # Nearly all words of a hot key have no other spelling, so few rows are left after the lookup.
     fixes = (
-        names.mapInPandas(explode, "name string, word string").join(right, "word")
+        lookup_join(names.mapInPandas(explode, "name string, word string"), right, ["word"]).filter("right IS NOT NULL")
         .groupBy("name").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
     )
     return names.join(fixes, "name", "left").mapInPandas(
@@ -416,28 +422,88 @@ def described(names: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def entities(described_names: DataFrame) -> DataFrame:
-    """name and entity: names with equal keys, shortened names with the one full name they fit."""
+def abbreviation_keys(word: str) -> set[str]:
+    """What may stand for a word: its beginnings, also with its last letter or an s, its letters without vowels, its first letter and end."""
+    n = len(word)
+    bare = word[0] + re.sub("[aeiouy]", "", word[1:])
+    keys = {word[:k] for k in range(2, n - 1)} | {bare[:k] for k in range(2, len(bare) + 1)}
+    keys |= {k + word[-1] for k in keys} | {k + "s" for k in keys} | {word[0] + word[-k:] for k in range(1, n - 2)}
+    return {k for k in keys if 2 <= len(k) < n - 1}
+
+
+def learnt_abbreviations(names: DataFrame) -> DataFrame:
+    """word -> right: short words with the long word they stand for, by the other words of the names that have them.
+
+    Pairs come from equal keys over the vocabulary; only names with a short word that has
+    such a pair are compared with others, by equality of all their other words.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name in batch["name"]:
+                own = [t for t, kind in tokens(name) if kind in ("word", "cut") and t not in TITLES and t not in ARTICLES and t not in LEGAL]
+                if 2 <= len(own):
+                    rows += [(t, " ".join(sorted(own[:i] + own[i + 1 :]))) for i, t in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["word", "others"])
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(k, w) for w in batch["word"] for k in abbreviation_keys(w)], columns=["word", "long"])
+
+    used = cut(spread(names).mapInPandas(run, "word string, others string").distinct())
+    often = used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_CONTEXTS)
+    often = cut(often.filter(~F.col("word").isin(sorted(SETTLED))))
+    long_words = often.filter(F.length("word") >= 5).select("word")
+    pairs = long_words.mapInPandas(spell, "word string, long string").join(often.select("word"), "word")
+    met = used.join(pairs, "word").join(used.select(F.col("word").alias("long"), "others"), ["long", "others"])
+    support = met.groupBy("word", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_CONTEXTS)
+    best = support.groupBy("word").agg(F.max_by("long", F.struct("n", "long")).alias("right"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    return best.filter("3 * most > 2 * all").select("word", "right")
+
+
+def keyed_entities(described_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The described names with their entity, and the entities that offer each key: key, least, most."""
     rows = described_names
     # Full names with different middle initials or legal forms are different entities.
     groups = rows.groupBy("full").agg(F.min(F.nullif("mark", F.lit(""))).alias("one"), F.max(F.nullif("mark", F.lit(""))).alias("other"))
     rows = rows.join(groups, "full").withColumn(
         "entity", F.when((F.col("one") != F.col("other")) & ~F.col("short"), F.concat_ws("|", "full", "mark")).otherwise(F.col("full"))
     )
-    offers = (
-        rows.select("entity", F.explode("emit").alias("key")).groupBy("key")
-        .agg(F.min("entity").alias("least"), F.max("entity").alias("most")).filter("least = most").select("key", "least")
-    )
-    wanted = rows.select("name", F.posexplode("seek").alias("rank", "key")).join(offers, "key")
+    offers = rows.select("entity", F.explode("emit").alias("key")).groupBy("key").agg(F.min("entity").alias("least"), F.max("entity").alias("most"))
+    return rows, offers
+
+
+def entities(described_names: DataFrame) -> DataFrame:
+    """name and entity: names with equal keys, shortened names with the one full name they fit."""
+    rows, offers = keyed_entities(described_names)
+    wanted = rows.select("name", F.posexplode("seek").alias("rank", "key")).join(offers.filter("least = most").select("key", "least"), "key")
     taken = wanted.groupBy("name").agg(F.min_by("least", "rank").alias("of"))
     return rows.join(taken, "name", "left").select("name", F.coalesce("of", "entity").alias("entity"))
 
 
-def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
-    """name_a < name_b for every two spellings of an entity among the distinct values of a column."""
+def ambiguous_names(described_names: DataFrame) -> DataFrame:
+    """name, and two of the entities it fits: shortened names that join none because they fit several."""
+    rows, offers = keyed_entities(described_names)
+    wanted = rows.select("name", F.posexplode("seek").alias("rank", "key")).join(offers, "key")
+    first = wanted.groupBy("name").agg(
+        F.min_by(F.struct("least", "most"), "rank").alias("of"), F.bool_or(F.col("least") == F.col("most")).alias("settled")
+    )
+    return first.filter("NOT settled").select("name", F.col("of.least").alias("entity_a"), F.col("of.most").alias("entity_b"))
+
+
+def describe_all(names: DataFrame, column: str = "name") -> DataFrame:
+    """described() of the distinct values of a column, with misspellings and abbreviations settled."""
     distinct = cut(spread(names.select(F.col(column).alias("name")).filter(F.trim("name") != "").distinct()))
     right = spellings(cut(near_words(words_of(spread(distinct)))))
-    found = cut(entities(cut(described(spread(distinct), right))))
+    learnt = learnt_abbreviations(distinct)
+    right = cut(learnt.unionByName(right.join(learnt.select("word"), "word", "left_anti")))
+    return cut(described(spread(distinct), right))
+
+
+def variant_pairs(names: DataFrame, column: str = "name") -> DataFrame:
+    """name_a < name_b for every two spellings of an entity among the distinct values of a column."""
+    found = cut(entities(describe_all(names, column)))
     many = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("entity")
     found = found.join(many, "entity")
     a, b = found.select("entity", F.col("name").alias("name_a")), found.select("entity", F.col("name").alias("name_b"))
@@ -457,5 +523,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(all_names(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_ambiguous: shortened names that fit several entities, with two of them."""
+    return ambiguous_names(describe_all(all_names(spark, sf_dir)))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ambiguous": p1_ambiguous}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,10 @@ all trees would yield first: the queue's order is the largest margin by which a
 goes against the vector, and because that never falls along a path, keeping the best
 `probes` nodes of each level over all trees gives the same leaves. The candidates of a
 leaf are reranked exactly, by blocks of matrix products, and the lists of a vector's
-leaves are merged.
+leaves are merged. A leaf that would have more than LEAF_MOST vectors, as there are where
+the sample can't make the trees any deeper, is searched in several tasks: each has all the
+leaf's vectors and a share of those that search it. exact=True makes the whole table one
+such leaf.
 
 How many leaves a vector searches and how large they are follows from the data: SAMPLE_QUERIES
 sampled vectors are compared with all others, and of the depths and numbers of leaves by
@@ -35,12 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestack.operators.skew import lookup_join
 from lodestack.session import Shared, cores, cut, reachable, table
 
 SAMPLE_ROWS = 65_536
 MIN_SAMPLE = 8
 SAMPLE_QUERIES = 256
 MOST_PROBES = 64
+LEAF_MOST = 40_000
+ROWS_A_TASK = 250_000
 # A further leaf costs a vector as much as so many candidates: its copy and its list are shuffled.
 COPY_COST = 2500
 BLOCK = 512
@@ -241,15 +247,18 @@ def fitted(forest: Forest, n: int, x: np.ndarray, near: np.ndarray, of: np.ndarr
 
 
 def nearest_classes(
-    found: DataFrame, dim: int, k: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int, recall: float
+    found: DataFrame, dim: int, k: int, trees: int, probes: int, leaf_rows: int, sample_rows: int, seed: int, recall: float, exact: bool = False
 ) -> DataFrame:
     """cid and its nearest classes, in order, as an array of (d, n, c): 1 - cosine, class and its number of heads."""
     spark = found.sparkSession
     n = found.count()
+    if exact:
+        trees, probes, leaf_rows = 1, 1, n
     forest = fit_forest(found, n, dim, trees, leaf_rows, sample_rows, seed)
     if forest.depth:
         forest, probes = fitted(forest, n, *true_nearest(found, dim, k, seed), probes, recall)
     shared = Shared(spark, forest)
+    tasks = max(1, -(-(n >> forest.depth) // LEAF_MOST))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
@@ -257,19 +266,23 @@ def nearest_classes(
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 leaves, own = forest.search(unpack(part.column(1), dim), probes)
-                at = pa.array(np.repeat(np.arange(part.num_rows), leaves.shape[1]))
+                # Every task of a leaf gets the leaf's own vectors; a vector searches in one of them.
+                mine = np.broadcast_to(part.column(0).to_numpy()[:, None, None] % tasks == np.arange(tasks), (*leaves.shape, tasks))
+                row, col, task = np.nonzero(mine | own[:, :, None])
+                at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves.ravel().astype(np.int32)), pa.array(own.ravel()), *(c.take(at) for c in part.columns)],
-                    names=["leaf", "own", *part.schema.names],
+                    [pa.array(leaves[row, col].astype(np.int64) * tasks + task), pa.array(own[row, col]), pa.array(mine[row, col, task]), *(c.take(at) for c in part.columns)],
+                    names=["leaf", "own", "searches", *part.schema.names],
                 )
 
     def rerank(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        own = group.column("own").to_numpy()
+        own, searches = group.column("own").to_numpy(), group.column("searches").to_numpy()
         cid = group.column("cid").to_numpy()
         heads = group.column("c").to_numpy()
         x = unpack(group.column("packed").combine_chunks(), dim)
         index, icid, ic = x[own], cid[own], heads[own]
+        x, cid = x[searches], cid[searches]
         out_n, out_d, out_c, ends = [], [], [], [0]
         block = max(1, min(BLOCK, BLOCK_CELLS // max(1, len(index))))
         for lo in range(0, len(x), block):
@@ -285,15 +298,15 @@ def nearest_classes(
             ends.extend((ends[-1] + good.sum(1).cumsum()).tolist())
             out_d.append(d[good]), out_n.append(icid[best][good]), out_c.append(ic[best][good])
         near = pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(out_d).astype(np.float32)), pa.array(np.concatenate(out_n)), pa.array(np.concatenate(out_c))],
+            [pa.array(np.concatenate([np.zeros(0, np.float32), *out_d]).astype(np.float32)), pa.array(np.concatenate([icid[:0], *out_n])), pa.array(np.concatenate([ic[:0], *out_c]))],
             names=["d", "n", "c"],
         )
         lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), near)
-        return pa.Table.from_arrays([group.column("cid"), lists], names=["cid", "near"])
+        return pa.Table.from_arrays([pa.array(cid), lists], names=["cid", "near"])
 
     sent = found.select("cid", "packed", F.size("heads").cast("tinyint").alias("c"))
-    sent = sent.mapInArrow(route, "leaf int, own boolean, cid bigint, packed binary, c tinyint")
-    parts = max(4 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = sent.mapInArrow(route, "leaf bigint, own boolean, searches boolean, cid bigint, packed binary, c tinyint")
+    parts = max(4 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), n * probes // ROWS_A_TASK)
     lists = (
         sent.repartition(parts, "leaf").groupBy("leaf")
         .applyInArrow(rerank, "cid bigint, near array<struct<d: float, n: bigint, c: tinyint>>")
@@ -307,16 +320,17 @@ def nearest_classes(
 def similar_pairs(
     df: DataFrame, id_col: str = "id", vector_col: str = "content_vector", dim: int = 64, k: int = 10, trees: int = 2,
     probes: int = 5, leaf_rows: int = 1000, sample_rows: int = SAMPLE_ROWS, seed: int = 7,
-    recall: float = 0.95,
+    recall: float = 0.95, exact: bool = False,
 ) -> DataFrame:
     """Pairs id_a < id_b where one is among the other's k most similar.
 
     sample_rows bounds the vectors the trees are fitted on; all are indexed and searched.
-    recall is the share of the k nearest that the search is widened to, by a sample.
+    recall is the share of the k nearest that the search is widened to, by a sample. exact
+    compares every vector with all others, in blocks.
     """
     rows = one_vector_per_id(packed_vectors(df, id_col, vector_col, dim))
     found = classes(rows, k)
-    near = nearest_classes(found, dim, k, trees, max(probes, trees), leaf_rows, sample_rows, seed, recall)
+    near = nearest_classes(found, dim, k, trees, max(probes, trees), leaf_rows, sample_rows, seed, recall, exact)
     # With c heads of its own a member needs k - (c - 1) more; `before` counts the heads of nearer classes.
     own = found.select("cid", F.size("heads").alias("own"))
     if found.filter(F.size("heads") > 1).isEmpty():
@@ -353,7 +367,7 @@ def similar_pairs(
     out = out.unionByName(copies.select(F.inline(F.array_distinct(within))))
     crowded = found.filter(F.size("heads") > k)
     if not crowded.isEmpty():
-        rest = rows.join(crowded.select("packed", "heads"), "packed").filter(~F.array_contains("heads", F.col("id"))).select("id", "heads").distinct()
+        rest = lookup_join(rows, crowded.select("packed", "heads"), ["packed"]).filter(~F.array_contains("heads", F.col("id"))).select("id", "heads").distinct()
         rest = rest.select("id", F.explode(F.slice("heads", 1, k)).alias("h"))
         out = out.unionByName(rest.select(F.least("id", "h").alias("id_a"), F.greatest("id", "h").alias("id_b")))
     return out

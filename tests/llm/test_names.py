@@ -78,3 +78,18 @@ def test_found(spark):
 
 def test_no_names(spark):
     assert nm.variant_pairs(spark.createDataFrame([(None,)], "name string")).count() == 0
+
+
+def test_long_names_and_learnt_words(spark):
+    long_name = "Norilyvimyt Institute for " + " ".join("abcdefghijklmnop"[i] * 3 + "olu" for i in range(14)) + " Research"
+    places = ("Colyluzeke", "Modywygurys", "Sofecorates", "Rivybewurun")
+    rows = [long_name, long_name.replace("Institute", "Inst."), "Genossenschaft Tivolek", "Genoss. Tivolek"]
+    rows += [f"{w} {p}" for p in places for w in ("Genossenschaft", "Gnsst")]
+    rows += ["Anna Bilomek", "Albert Bilomek", "A. Bilomek"]
+    df = spark.createDataFrame([(r,) for r in rows], "name string")
+    got = {(r["name_a"], r["name_b"]) for r in nm.variant_pairs(df).collect()}
+    assert tuple(sorted(rows[:2])) in got
+    assert all(tuple(sorted((f"Genossenschaft {p}", f"Gnsst {p}"))) in got for p in places)
+    assert not any("A. Bilomek" in p for p in got)
+    found = nm.ambiguous_names(nm.describe_all(df)).collect()
+    assert ("A. Bilomek", {"anna bilomek", "albert bilomek"}) in [(r["name"], {r["entity_a"], r["entity_b"]}) for r in found]

@@ -52,3 +52,16 @@ def test_copies(spark):
 def test_few_rows(spark):
     assert nb.similar_pairs(frame(spark, [("a", [1.0, 0.0]), ("b", [1.0, 0.1])]), dim=2, k=3).collect()[0]["id_a"] == "a"
     assert nb.similar_pairs(frame(spark, [("a", None)]), dim=2, k=3).count() == 0
+
+
+def test_defaults_at_64_dimensions_and_split_leaves(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((100, 64))
+    rows = [(f"r{i:05d}", (centres[i % 100] + 0.7 * rng.standard_normal(64)).tolist()) for i in range(5000)]
+    want = brute(rows, 10)
+    got = {(r["id_a"], r["id_b"]) for r in nb.similar_pairs(frame(spark, rows)).collect()}
+    assert len(got & want) / len(want) > 0.93
+    monkeypatch.setattr(nb, "LEAF_MOST", 150)
+    assert {(r["id_a"], r["id_b"]) for r in nb.similar_pairs(frame(spark, rows)).collect()} == got
+    exact = {(r["id_a"], r["id_b"]) for r in nb.similar_pairs(frame(spark, rows), exact=True).collect()}
+    assert len(exact & want) / len(want) > 0.9999
