@@ -62,11 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, local runs) a temporary folder is made.
+    Where that is unset a local session gets a temporary folder; on a cluster, whose
+    executors could not see it, that is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="lodestack-"))
         atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], True)
@@ -77,14 +80,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and read it back, which cuts its lineage.
 
     The table survives the loss of executors, is computed once however often it is
-    read, and gives the optimizer real sizes. Written tables are removed at exit or by
-    release().
+    read, and gives the optimizer real sizes. Written tables are removed by release(), at
+    the latest when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestack/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
-        atexit.register(_remove_local)
+        atexit.register(_release_at_exit, spark)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,10 +100,13 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def _remove_local() -> None:
-    for path in _WRITTEN:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://"), True)
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # the session has ended: only what is on this machine can still be removed
+        for path in _WRITTEN:
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://"), True)
 
 
 def cores(spark: SparkSession) -> int:
