@@ -1,9 +1,11 @@
-"""Running lines and page numbers of scanned documents, found by line classifiers.
+"""Scanned documents, and their running lines and page numbers, found by classifiers.
+
+Whether a document was scanned is told from the lengths and ends of all its lines.
 
 The classifiers read features of a line, of its neighbours and of the lines of the
 document that look like it. They are trained on pages that are made from paragraphs of the
 corpus: wrapped, cut into pages, with running lines, page numbers, tables, captions and
-misread characters put in.
+misread characters put in; clean texts are made of the same paragraphs, a line each.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ PAGE = re.compile(
 _START_NUMBER = re.compile(rf"^({NUMBER})\b")
 _END_NUMBER = re.compile(rf"({NUMBER})$")
 _EDGE_NUMBER = re.compile(rf"^{NUMBER}\b(?=\s{{2,}}|\s*[|·–-])|(?:\s{{2,}}|[|·–-]\s*){NUMBER}$")
-_DIGITS = str.maketrans("OoIlSBZ|", "00115820"[:7] + "1")
+_DIGITS = str.maketrans("OoIlSBZ|", "00115821")
 FEATURES = 27
 
 
@@ -56,8 +58,6 @@ def roman_of(text: str) -> int | None:
 
 def page_of(line: str) -> tuple[int, int] | None:
     """(number, how it is written) if the line has nothing but what could be a page number."""
-    if len(line) > 40:
-        return None
     m = PAGE.match(line)
     if m:
         n = number_of(m["n"])
@@ -191,12 +191,15 @@ def line_features(lines: list[str]) -> tuple[list[int], np.ndarray]:
 
 def _occurrences(key: str) -> list[tuple[str, int]]:
     """The pairs of letters of a key, each with how often it has occurred before."""
-    seen: Counter = Counter()
+    pairs = [key[i : i + 2] for i in range(len(key) - 1)]
+    if len(set(pairs)) == len(pairs):
+        return [(g, 0) for g in pairs]
+    seen: dict[str, int] = {}
     out = []
-    for i in range(len(key) - 1):
-        g = key[i : i + 2]
-        out.append((g, seen[g]))
-        seen[g] += 1
+    for g in pairs:
+        n = seen.get(g, 0)
+        out.append((g, n))
+        seen[g] = n + 1
     return out
 
 
@@ -207,24 +210,29 @@ def _merge_like(groups: dict[str, list[int]]) -> None:
     many that no head with enough pairs in common is missed; the first such head gets it.
     """
     keys = sorted((k for k in groups if len(k) >= 6), key=lambda k: -len(groups[k]))
-    grams = {k: _occurrences(k) for k in keys}
     heads = [k for k in keys if len(groups[k]) > 1]
-    index: dict[tuple[tuple[str, int], int], list[int]] = defaultdict(list)
-    often: Counter = Counter()
-    for n, head in enumerate(heads):
-        for g in grams[head]:
-            index[g, len(head)].append(n)
-            often[g] += 1
+    if not heads:
+        return
+    own = [set(_occurrences(h)) for h in heads]
+    index: dict[tuple[str, int], list[int]] = defaultdict(list)
+    for n, grams in enumerate(own):
+        for g in grams:
+            index[g].append(n)
+    sizes = np.zeros(max(map(len, keys)) + 5, bool)
+    for h in heads:
+        sizes[max(0, len(h) - 3) : len(h) + 4] = True
     for k in keys:
+        if not sizes[len(k)]:
+            continue
+        grams = _occurrences(k)
         need = max(1, int(np.ceil(0.72 * len(k) - 1)))
-        rarest = sorted(grams[k], key=lambda g: often[g])[: len(grams[k]) - need + 1]
-        near = {n for g in rarest for size in range(len(k) - 3, len(k) + 4) for n in index.get((g, size), ())}
-        own = set(grams[k])
+        rarest = sorted(grams, key=lambda g: len(index.get(g, ())))[: len(grams) - need + 1]
+        near = {n for g in rarest for n in index.get(g, ()) if -4 < len(heads[n]) - len(k) < 4}
         for n in sorted(near):
             head = heads[n]
             if head == k or head not in groups or len(groups[head]) < len(groups[k]):
                 continue
-            if len(own.intersection(grams[head])) >= 0.72 * max(len(k), len(head)) - 1:
+            if len(own[n].intersection(grams)) >= 0.72 * max(len(k), len(head)) - 1:
                 groups[head] = sorted(groups[head] + groups.pop(k))
                 break
 
@@ -329,39 +337,110 @@ def made_document(rng: np.random.Generator, paragraphs: list[str]) -> tuple[list
     return out, labels
 
 
+SHAPE = 15
+
+
+def shape(lines: list[str]) -> np.ndarray:
+    """What tells a scan from a clean text: how long its lines are and how they end."""
+    text = [s for s in (line.replace("\x0c", "").strip() for line in lines) if s]
+    x = np.zeros(SHAPE)
+    if not text:
+        return x
+    n = np.array([len(s) for s in text])
+    q50, q75, q90 = np.quantile(n, (0.5, 0.75, 0.9))
+    open_ = np.array([s[-1] not in ".!?:…\"”»)" for s in text])
+    low = np.array([s[0].islower() for s in text])
+    goes_on = open_[:-1] & low[1:]
+    body = n > 0.5 * q90
+    x[:] = (
+        np.log1p(len(n)), q50, q75, q90, n.max(), n[n > 110].sum() / n.sum(), n[n <= 110].sum(), open_.mean(), goes_on.sum() / max(1, len(n) - 1), goes_on.sum(),
+        sum(s[-1] in HYPHENS for s in text) / len(n), n[body].std() / n[body].mean(), (n[n > 0.8 * q90] <= 1.15 * q90).mean(),
+        any("\x0c" in line for line in lines), sum(c in "†¢ſ" for s in text for c in s) / n.sum(),
+    )
+    return x
+
+
+def made_clean(rng: np.random.Generator, paragraphs: list[str]) -> list[str]:
+    """Lines of a made clean text: paragraphs of one line each, among headings, short notes, lists and blank lines."""
+    out: list[str] = []
+    for i in rng.integers(0, len(paragraphs), int(rng.integers(1, 14))):
+        words = paragraphs[int(i)].split()
+        r = rng.random()
+        if r < 0.15:
+            out.append(("", "# ", "## ", f"## {rng.integers(1, 9)}. ")[int(rng.integers(4))] + " ".join(words[: int(rng.integers(2, 7))]).title())
+        elif r < 0.3:
+            out += [f"- {' '.join(words[j : j + int(rng.integers(2, 9))])}" for j in range(0, min(len(words), 40), 9)]
+        elif r < 0.45:
+            out.append(re.split(r"(?<=[.!?])\s", paragraphs[int(i)])[0])
+        else:
+            out.append(paragraphs[int(i)])
+        if rng.random() < 0.3:
+            out.append("")
+    return out
+
+
+def damaged(rng: np.random.Generator, lines: list[str]) -> list[str]:
+    """A made scan of which sometimes only few lines are left, or lines have run together."""
+    out = list(lines)
+    if rng.random() < 0.25:
+        lo = int(rng.integers(0, max(1, len(out) - 6)))
+        out = out[lo : lo + int(rng.integers(2, 7))]
+    if rng.random() < 0.4:
+        for _ in range(int(rng.integers(1, 4))):
+            if len(out) > 3:
+                at = int(rng.integers(0, len(out) - 1))
+                out[at : at + 2] = [f"{out[at]} {out[at + 1]}"]
+    return out
+
+
 class Furniture:
-    """Classifiers for headers and page numbers, trained on made pages."""
+    """Classifiers for scans, headers and page numbers, trained on made documents."""
 
     def __init__(self, paragraphs: list[str], documents: int = 400, seed: int = 5):
         rng = np.random.default_rng(seed)
-        xs, ys = [], []
+        xs, ys, shapes, scans = [], [], [], []
         for _ in range(documents):
             lines, labels = made_document(rng, paragraphs)
             at, x = line_features(lines)
             xs.append(x)
             ys.append(np.array(labels)[at])
+            for made, is_scan in ((damaged(rng, lines), True), (damaged(rng, lines), True), (made_clean(rng, paragraphs), False), (made_clean(rng, paragraphs), False)):
+                shapes.append(shape(made))
+                scans.append(is_scan)
         x, y = np.concatenate(xs), np.concatenate(ys)
         self.header = Boosted(50, 4).fit(x, y == 1)
         self.number = Boosted(50, 4).fit(x, y == 2)
+        self.scan = Boosted(50, 4).fit(np.array(shapes), np.array(scans))
 
     def kinds(self, lines: list[str]) -> list[str]:
-        """header, page_number, text or blank for every line."""
-        out = ["blank"] * len(lines)
-        at, x = line_features(lines)
-        for i, head, number in zip(at, self.header.predict(x), self.number.predict(x)):
-            out[i] = "page_number" if number > 0.5 and number >= head else "header" if head > 0.5 else "text"
+        """header, page_number, text or blank for every line of a scan."""
+        return self.all_kinds([lines])[0]
+
+    def all_kinds(self, documents: list[list[str]]) -> list[list[str]]:
+        """kinds() of several scans at once."""
+        read = [line_features(lines) for lines in documents]
+        x = np.concatenate([x for _, x in read]) if read else np.zeros((0, FEATURES))
+        heads, numbers = self.header.predict(x), self.number.predict(x)
+        out, lo = [], 0
+        for lines, (at, own) in zip(documents, read):
+            kinds = ["blank"] * len(lines)
+            for i, head, number in zip(at, heads[lo : lo + len(own)], numbers[lo : lo + len(own)]):
+                kinds[i] = "page_number" if number > 0.5 and number >= head else "header" if head > 0.5 else "text"
+            out.append(kinds)
+            lo += len(own)
         return out
 
-
-def is_scan(content: str | None) -> bool:
-    """Whether a text is wrapped into lines like a page; clean texts have one line a paragraph."""
-    lengths = [len(s) for s in (line.strip() for line in (content or "").split("\n")) if s]
-    return len(lengths) >= 4 and max(lengths) <= 110
+    def read(self, contents: list[str]) -> list[list[str] | None]:
+        """The kinds of the lines of every content, None for clean texts."""
+        split = [c.split("\n") for c in contents]
+        scanned = self.scan.predict(np.array([shape(lines) for lines in split])) > 0.5 if split else []
+        kinds = iter(self.all_kinds([lines for lines, yes in zip(split, scanned) if yes]))
+        return [next(kinds) if yes else None for yes in scanned]
 
 
 def paragraphs_of(contents: list[str], most: int = 3000) -> list[str]:
-    """Paragraphs of clean texts, or joined lines of scans where there are no clean ones."""
-    clean = [p.strip() for c in contents if not is_scan(c) for p in (c or "").split("\n") if len(p) > 120]
-    if len(clean) < 20:
-        clean += [" ".join((c or "").split()) for c in contents if c and len(c) > 120]
-    return clean[:most]
+    """At most `most` paragraphs to make documents of: long lines, or joined lines of contents where there are few."""
+    long_lines = [p.strip() for c in contents for p in (c or "").split("\n") if len(p) > 120]
+    if len(long_lines) < 20:
+        long_lines += [" ".join((c or "").split()) for c in contents if c and len(c) > 120]
+    return long_lines[:most]

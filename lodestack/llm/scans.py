@@ -1,11 +1,12 @@
 """Noise in text from scanned pages (problem 4).
 
-1. Running lines and page numbers are found by the line classifiers of pages.py.
+1. Scans are told from clean texts, and their running lines and page numbers are found, by
+   the classifiers of pages.py. A document becomes one row of arrays.
 2. All words of the corpus are counted, apart for clean texts and scans; a word divided at
    a line's end counts with its halves joined.
 3. Words that clean texts don't have meet their correction candidates in an inverted join
    of character q-grams: by their rarest grams, of which words within EDITS edits share
-   one, then by the number of shared grams. Gradient-boosted trees rank the candidates;
+   one at nearly the same place, then by the number of shared grams. Gradient-boosted trees rank the candidates;
    they are trained on words of the corpus that are misread on purpose, and on rare words
    of clean texts, which have no correction.
 4. Line pairs around a hyphen are joined or kept by boosted trees over the counts of the
@@ -15,7 +16,8 @@
    words replaced, one line a paragraph.
 
 The classifiers are fitted on bounded samples: `sample_docs` documents for pages,
-`sample_words` words for words and hyphens. Counts, candidates and decisions cover all.
+and for pages the first 3000 of their paragraphs, `sample_words` words for words and
+hyphens. Counts, candidates and decisions cover all.
 
 Defined cases: null and blank contents give no lines; clean texts have no cases; of a
 repeated id the row with the latest update counts, then the longest text; words without a
@@ -30,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.boosting import Boosted
-from lodestack.llm.pages import HYPHENS, MISREAD, SYMBOLS, Furniture, is_scan, misread, paragraphs_of
+from lodestack.llm.pages import HYPHENS, MISREAD, SYMBOLS, Furniture, misread, paragraphs_of
 from lodestack.session import Shared, cut, spread, table
 
 EDITS, GRAM = 2, 2
@@ -65,6 +68,8 @@ def parts(word: str) -> list[str]:
 
 def odd(word: str) -> bool:
     """Whether a word holds a sign or digit that no word has."""
+    if word.isalpha() and "ſ" not in word:
+        return False
     inner = word.strip("!|")
     if any(c in ODD_SIGNS for c in inner):
         return not ("@" in inner and "." in inner.split("@")[-1])
@@ -87,13 +92,17 @@ def divided(lines: list[str], kinds: list[str]) -> dict[int, tuple[int, str, str
     return out
 
 
-def document_rows(doc: str, content: str, kinds: list[str] | None) -> list[tuple]:
-    """(id, scan, line, what, word, left, right, hyphen) of a document; lines count from 1."""
-    lines = content.split("\n")
+def document_words(lines: list[str], kinds: list[str] | None) -> tuple[list[str], list[int], list[tuple], list[tuple]]:
+    """Of a document: its words and the line of each (0 in clean texts), (line, next, left, right, hyphen) of
+    the divided lines, and (line, kind) of running lines and page numbers; lines count from 1."""
+    words: list[str] = []
+    at: list[int] = []
     if kinds is None:
-        words = [p for line in lines for w in tokens(line) for p in {w, *parts(w)}]
-        return [(doc, False, 0, "word", w, None, None, None) for w in words]
-    rows = [(doc, True, i + 1, k, None, None, None, None) for i, k in enumerate(kinds) if k in ("header", "page_number")]
+        for line in lines:
+            for w in tokens(line):
+                words += {w, *parts(w)} if "-" in w else (w,)
+        return words, [0] * len(words), [], []
+    furniture = [(i + 1, k) for i, k in enumerate(kinds) if k in ("header", "page_number")]
     pairs = divided(lines, kinds)
     starts = {v[0]: v[2] for v in pairs.values()}
     for i, k in enumerate(kinds):
@@ -103,14 +112,21 @@ def document_rows(doc: str, content: str, kinds: list[str] | None) -> list[tuple
         if i in starts:
             line = line.replace(starts[i], " ", 1)
         if i in pairs:
-            j, left, right, sign = pairs[i]
-            rows.append((doc, True, i + 1, "pair", (left + right).lower(), left, right, sign))
-            line = line.rstrip()[: -1 - len(left)]
-        rows += [(doc, True, i + 1, "word", p, None, None, None) for w in tokens(line) for p in ({w} if odd(w) else {w, *parts(w)})]
-    return rows
+            words.append((pairs[i][1] + pairs[i][2]).lower())
+            at.append(-i - 1)
+            line = line.rstrip()[: -1 - len(pairs[i][1])]
+        own = {p for w in tokens(line) for p in ((w,) if "-" not in w or odd(w) else (w, *parts(w)))}
+        words += own
+        at += [i + 1] * len(own)
+    return words, at, [(i + 1, v[0] + 1, *v[1:]) for i, v in pairs.items()], furniture
 
 
-ROWS = "id string, scan boolean, line int, what string, word string, left string, right string, sign string"
+ROWS = (
+    "id string, scan boolean, words array<string>, at array<int>, pairs array<struct<line:int,next:int,left:string,right:string,sign:string>>, "
+    "furniture array<struct<line:int,kind:string>>"
+)
+_PAIRS = pa.list_(pa.struct([("line", pa.int32()), ("next", pa.int32()), ("left", pa.string()), ("right", pa.string()), ("sign", pa.string())]))
+_FURNITURE = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string())]))
 
 
 def latest(df: DataFrame) -> DataFrame:
@@ -123,57 +139,72 @@ _STATE: dict = {}
 
 
 def read_pages(docs: DataFrame, furniture: Shared) -> DataFrame:
-    """The rows of document_rows for all documents."""
+    """document_words() of all documents. A word at line -n is what the halves around the end of line n make joined."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _STATE.get("key") != furniture.key:
             _STATE.update(key=furniture.key, furniture=furniture.value)
-        columns = [c.split()[0] for c in ROWS.split(", ")]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, content in zip(batch["id"], batch["content"]):
-                kinds = _STATE["furniture"].kinds(content.split("\n")) if is_scan(content) else None
-                rows += document_rows(doc, content, kinds)
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
-
-    return docs.mapInPandas(run, ROWS)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                contents = part.column(1).to_pylist()
+                kinds = _STATE["furniture"].read(contents)
+                read = [document_words(c.split("\n"), k) for c, k in zip(contents, kinds)]
+                ends = pa.array(np.cumsum([0, *(len(r[0]) for r in read)]), pa.int32())
+                words = pa.ListArray.from_arrays(ends, pa.array([w for r in read for w in r[0]], pa.string()))
+                at = pa.ListArray.from_arrays(ends, pa.array([n for r in read for n in r[1]], pa.int32()))
+                pairs = pa.array([[dict(zip(("line", "next", "left", "right", "sign"), p)) for p in r[2]] for r in read], _PAIRS)
+                lines = pa.array([[{"line": i, "kind": k} for i, k in r[3]] for r in read], _FURNITURE)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([k is not None for k in kinds]), words, at, pairs, lines], names=["id", "scan", "words", "at", "pairs", "furniture"]
+                )
+
+    return docs.select("id", "content").mapInArrow(run, ROWS)
 
 
 def lexicon(rows: DataFrame) -> DataFrame:
     """word, n_clean, n_scan: how often clean texts and scans have it (joined halves count for scans)."""
     return (
-        rows.filter("word IS NOT NULL").groupBy("word")
+        rows.select("scan", F.explode("words").alias("word")).groupBy("word")
         .agg(F.count_if(~F.col("scan")).alias("n_clean"), F.count_if("scan").alias("n_scan"))
     )
 
 
-def grams_of(column) -> F.Column:
-    """Distinct q-grams of the edged, folded word."""
+def all_grams(column: Column) -> Column:
+    """The q-grams of the edged, folded word in order."""
     edged = F.concat(F.lit("^"), F.translate(column, "0156@†¢ſ|!89", "olsbatcfllbg"), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(edged) - GRAM + 1), lambda i: F.substring(edged, i, F.lit(GRAM))))
+    return F.transform(F.sequence(F.lit(1), F.length(edged) - GRAM + 1), lambda i: F.substring(edged, i, F.lit(GRAM)))
+
+
+def grams_of(column: Column) -> Column:
+    return F.array_distinct(all_grams(column))
 
 
 def candidate_pairs(words: DataFrame, trusted: DataFrame) -> DataFrame:
     """word and cand: each word with the trusted words that may be within EDITS edits of its folded form.
 
-    Two such words share one of the PREFIX rarest grams of each, whatever the order of
-    rarity, and all but EDITS * GRAM of their grams.
+    Of two such words one of the PREFIX rarest grams of each is the same occurrence, at most
+    EDITS places further on, whatever the order of rarity; all but EDITS * GRAM of their
+    grams are shared. Keys are a gram and the candidate's length, so that a frequent gram is
+    many keys.
     """
     right = cut(trusted.select(F.col("word").alias("cand"), grams_of(F.col("word")).alias("cand_grams")))
     rarity = right.select(F.explode("cand_grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     left = words.select("word", grams_of(F.col("word")).alias("grams"))
 
-    def prefixed(df: DataFrame, name: str, grams: str) -> DataFrame:
-        each = df.select(name, F.size(grams).alias("size"), F.explode(grams).alias("gram")).join(rarity, "gram", "left")
-        first = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
-        return each.groupBy(name).agg(F.max("size").alias("size"), F.slice(first, 1, PREFIX).alias("first")).select(name, F.col("size").alias(f"{name}_size"), F.explode("first.gram").alias("gram"))
+    def prefixed(df: DataFrame, name: str, column: Column) -> DataFrame:
+        each = df.select(name, F.posexplode(all_grams(column)).alias("pos", "gram")).join(rarity, "gram", "left")
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "pos")))
+        first = each.groupBy(name).agg(ordered.alias("g"))
+        last = F.get("g", F.least(F.size("g"), F.lit(PREFIX)) - 1)
+        kept = F.filter("g", lambda x: F.struct(x.n, x.gram) <= F.struct(last.n, last.gram))
+        return first.select(name, F.explode(kept).alias("x")).select(name, F.col("x.gram").alias("gram"), F.col("x.pos").alias(f"{name}_at"))
 
+    lengths = F.sequence(F.length("word") - EDITS, F.length("word") + EDITS)
     met = (
-        prefixed(left, "word", "grams").join(prefixed(right, "cand", "cand_grams"), "gram")
-        .filter((F.abs(F.length("word") - F.length("cand")) <= EDITS) & (F.col("word") != F.col("cand")))
+        prefixed(left, "word", F.col("word")).withColumn("size", F.explode(lengths))
+        .join(prefixed(right, "cand", F.col("cand")).withColumn("size", F.length("cand")), ["gram", "size"])
+        .filter((F.abs(F.col("word_at") - F.col("cand_at")) <= EDITS) & (F.col("word") != F.col("cand")))
         .select("word", "cand").distinct()
     )
     shared = F.size(F.array_intersect("grams", "cand_grams"))
@@ -270,7 +301,7 @@ def corrections(words: DataFrame, sample_words: int) -> DataFrame:
     schema = "word string, n_word bigint, source string"
     made = training_words(words, sample_words)
     trusted = words.filter("length(word) >= 3 AND word NOT RLIKE '[0-9†¢ſ@!|]' AND (n_clean > 0 OR n_scan >= 4)")
-    suspects = words.filter("n_clean = 0 AND n_scan > 0 AND length(word) BETWEEN 2 AND 40").select("word", F.col("n_scan").alias("n_word"), F.lit(None).cast("string").alias("source"))
+    suspects = words.filter("n_clean = 0 AND n_scan > 0 AND length(word) >= 2").select("word", F.col("n_scan").alias("n_word"), F.lit(None).cast("string").alias("source"))
     known = trusted.select(F.col("word").alias("cand"), F.col("n_clean").alias("clean"), F.col("n_scan").alias("scan"))
 
     def featured(rows: DataFrame) -> DataFrame:
@@ -284,7 +315,7 @@ def corrections(words: DataFrame, sample_words: int) -> DataFrame:
         if y.any() and not y.all():
             ranker = Boosted(60, 4).fit(np.stack(learn["x"].to_numpy()), y)
     flagged = suspects.select("word", F.lit(None).cast("string").alias("right"), F.lit(1.0).alias("p"))
-    is_odd = F.udf(odd, "boolean")
+    is_odd = F.pandas_udf(_odd, "boolean")
     flagged = flagged.filter("word RLIKE '[0-9†¢ſ@!|]'").filter(is_odd("word"))
     if ranker is None:
         return flagged
@@ -378,7 +409,7 @@ def hyphens(pairs: DataFrame, words: DataFrame, sample_words: int, seed: int = 4
 
 
 class Found:
-    """What repair() finds: line kinds, corrections by line, and the documents."""
+    """What repair() needs: the documents with whether they are scans, line kinds, and corrections by line."""
 
     def __init__(self, docs: DataFrame, lines: DataFrame, fixes: DataFrame):
         self.docs, self.lines, self.fixes = docs, lines, fixes
@@ -393,48 +424,45 @@ def analyse(df: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
     paragraphs = paragraphs_of(sample["content"].tolist())
     if not paragraphs:
         empty = spark.createDataFrame([], "id string, line_no bigint, kind string")
-        return Found(docs, empty, spark.createDataFrame([], "id string, line_no bigint, word string, right string"))
+        return Found(docs.withColumn("scan", F.lit(False)), empty, spark.createDataFrame([], "id string, line_no bigint, word string, right string"))
     rows = cut(read_pages(spread(docs), Shared(spark, Furniture(paragraphs))))
     words = cut(lexicon(rows))
     wrong = cut(corrections(words, sample_words))
-    pairs = rows.filter("what = 'pair'").select(F.concat_ws("|", "id", "line").alias("key"), "id", "line", "word", "left", "right", "sign")
+    scans = rows.filter("scan")
+    pairs = scans.select("id", F.inline("pairs")).select(F.concat_ws("|", "id", "line").alias("key"), "*")
     joined = cut(pairs.join(hyphens(pairs, words, sample_words), "key", "left_semi"))
     kept = pairs.join(joined.select("key"), "key", "left_anti")
 
-    furniture = rows.filter("what IN ('header', 'page_number')").select("id", "line", F.col("what").alias("kind"))
-    in_lines = rows.filter("what = 'word' AND scan").select("id", "line", "word")
-    halves = kept.select("id", "line", F.explode(F.array(F.lower("left"))).alias("word"))
+    furniture = scans.select("id", F.inline("furniture"))
+    # A misread word is rare, so the words of scans stay where they are if all misread words can be broadcast.
+    in_lines = scans.select("id", F.inline(F.arrays_zip(F.col("at").alias("line"), F.col("words").alias("word")))).filter("line > 0")
+    halves = kept.select("id", "line", F.lower("left").alias("word"))
     fixes = in_lines.unionByName(halves).join(wrong, "word").select("id", "line", "word", "right")
-    place = F.pandas_udf(_place, "int", F.PandasUDFType.SCALAR)
-    split_fixes = joined.select("id", "line", "word", F.length("left").alias("n")).join(wrong, "word").select("id", F.col("line"), "word", "right", "n")
+    place = F.pandas_udf(_place, "int")
+    split_fixes = joined.select("id", "line", "next", F.lower(F.concat("left", "right")).alias("word"), F.length("left").alias("n")).join(wrong, "word")
     # A joined word's misread character may stand in the second half, on the next line of text.
-    followers = _next_lines(rows)
-    split_fixes = split_fixes.withColumn("second", place("right", "word") >= F.col("n")).join(followers, ["id", "line"], "left")
-    at_line = F.when(F.col("second"), F.coalesce("next", F.col("line") + 1)).otherwise(F.col("line"))
-    split_lines = split_fixes.select("id", at_line.alias("line"), F.lit("misread").alias("kind"))
+    at_line = F.when(place("right", "word") >= F.col("n"), F.col("next")).otherwise(F.col("line"))
+    split_fixes = split_fixes.select("id", "line", at_line.alias("at_line"), "word", "right")
     lines = (
         furniture.unionByName(joined.select("id", "line", F.lit("hyphen").alias("kind")))
-        .unionByName(fixes.select("id", "line", F.lit("misread").alias("kind"))).unionByName(split_lines).distinct()
+        .unionByName(fixes.select("id", "line", F.lit("misread").alias("kind")))
+        .unionByName(split_fixes.select("id", F.col("at_line").alias("line"), F.lit("misread").alias("kind"))).distinct()
     )
     all_fixes = fixes.unionByName(split_fixes.select("id", "line", "word", "right")).filter("right IS NOT NULL")
     name = F.col("line").cast("bigint").alias("line_no")
+    docs = docs.join(rows.select("id", "scan"), "id")
     return Found(docs, lines.select("id", name, "kind"), all_fixes.select("id", name, "word", "right").distinct())
 
 
+def _odd(words: pd.Series) -> pd.Series:
+    return words.map(odd)
+
+
 def _place(right: pd.Series, word: pd.Series) -> pd.Series:
     """Where a misread word first differs from its correction; 0 if it has none."""
     return pd.Series([alignment(a, b)[3] if a else 0 for a, b in zip(right, word)], dtype="int32")
 
 
-def _next_lines(rows: DataFrame) -> DataFrame:
-    """id, line, next: the text line after each divided one, past running lines."""
-    skipped = rows.filter("what IN ('header', 'page_number')").groupBy("id").agg(F.collect_set("line").alias("skip"))
-    pairs = rows.filter("what = 'pair'").select("id", "line").join(skipped, "id", "left")
-    ahead = F.sequence(F.col("line") + 1, F.col("line") + 8)
-    free = F.filter(ahead, lambda i: ~F.array_contains(F.coalesce("skip", F.array().cast("array<int>")), i))
-    return pairs.select("id", "line", F.get(free, F.lit(0)).alias("next"))
-
-
 def repaired(found: Found) -> DataFrame:
     """id and text: continuous paragraphs without running lines, divided and misread words."""
     lines = found.lines.groupBy("id").agg(F.collect_list(F.struct("line_no", "kind")).alias("lines"))
@@ -442,7 +470,10 @@ def repaired(found: Found) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [repair(c, _rows(a), _rows(b)) for c, a, b in zip(batch["content"], batch["lines"], batch["fixes"])]
+            out = [
+                repair(c, _rows(a), _rows(b)) if scan else c.replace("\r\n", "\n")
+                for c, scan, a, b in zip(batch["content"], batch["scan"], batch["lines"], batch["fixes"])
+            ]
             yield pd.DataFrame({"id": batch["id"], "text": out})
 
     return spread_rows(found.docs.join(lines, "id", "left").join(fixes, "id", "left")).mapInPandas(run, "id string, text string")
@@ -461,9 +492,7 @@ def replaced(line: str, word: str, right: str) -> str:
 
 
 def repair(content: str, lines: list, fixes: list) -> str:
-    """The text of one document with its furniture removed, hyphens joined and words replaced."""
-    if not is_scan(content):
-        return content.replace("\r\n", "\n")
+    """The text of one scan with its furniture removed, hyphens joined and words replaced."""
     kinds: dict[int, set] = {}
     for x in lines:
         kinds.setdefault(x["line_no"], set()).add(x["kind"])

@@ -48,13 +48,59 @@ def test_numbers():
     assert G.chained([5, 9, 6, 3]) == [True, False, True, False]
 
 
-def test_document_rows():
+def test_document_words():
     text = "A long-\nterm mea-\nsurement of 12 m, l'étude.\n- 7 -\nGauge QX-\n0012345 was s@lt-resistant."
-    rows = S.document_rows("d", text, ["text", "text", "text", "page_number", "text", "text"])
-    pairs = {(r[2], r[5], r[6]) for r in rows if r[3] == "pair"}
-    assert pairs == {(1, "long", "term"), (2, "mea", "surement"), (5, "QX", "0012345")}
-    assert ("page_number", 4) in {(r[3], r[2]) for r in rows}
-    assert {r[4] for r in rows if r[3] == "word"} == {"a", "of", "m", "étude", "gauge", "was", "s@lt-resistant"}
+    words, at, pairs, furniture = S.document_words(text.split("\n"), ["text", "text", "text", "page_number", "text", "text"])
+    assert {p[:4] for p in pairs} == {(1, 2, "long", "term"), (2, 3, "mea", "surement"), (5, 6, "QX", "0012345")}
+    assert furniture == [(4, "page_number")]
+    assert {w for w, n in zip(words, at) if n > 0} == {"a", "of", "m", "étude", "gauge", "was", "s@lt-resistant"}
+    assert {(w, n) for w, n in zip(words, at) if n < 0} == {("longterm", -1), ("measurement", -2), ("qx0012345", -5)}
+
+
+def test_a_hyphen_past_many_running_lines():
+    lines = ["The pump was mea-", *["- 7 -"] * 20, "sured twice."]
+    pairs = S.document_words(lines, ["text", *["page_number"] * 20, "text"])[2]
+    assert pairs[0][:4] == (1, 22, "mea", "sured")
+
+
+def test_scans_are_told_by_all_lines():
+    furniture = G.Furniture(PARAGRAPHS, documents=120)
+    rng = np.random.default_rng(7)
+    made = [G.damaged(rng, G.made_document(rng, PARAGRAPHS)[0]) for _ in range(60)]
+    clean = [G.made_clean(rng, PARAGRAPHS) for _ in range(60)]
+    kinds = furniture.read(["\n".join(x) for x in made + clean])
+    assert sum(k is not None for k in kinds[:60]) >= 55 and sum(k is None for k in kinds[60:]) >= 57
+    page = G.made_document(np.random.default_rng(2), PARAGRAPHS)[0]
+    for at in (0, len(page) // 2):
+        page[at] = page[at] + " and" * 60
+    assert furniture.read(["\n".join(page)])[0] is not None
+    assert furniture.read([]) == []
+
+
+def test_candidates_lose_no_near_word(spark):
+    rng = np.random.default_rng(1)
+    draw = lambda n: "".join(rng.choice(list("abcde"), n))
+    good = sorted({draw(int(n)) for n in rng.integers(3, 12, 150)})
+    bad = []
+    for w in good[:100]:
+        for _ in range(2):
+            i, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            w = (w[:i] + w[i + 1 :], w[:i] + draw(1) + w[i:], w[:i] + draw(1) + w[i + 1 :])[kind] or "a"
+        bad.append(w)
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                before, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, before + (x != y))
+        return d[-1]
+
+    # Words of which nothing is sure to stay aren't promised.
+    want = {(a, b) for a in set(bad) for b in good if a != b and distance(a, b) <= 2 and min(len(a), len(b)) >= 6}
+    frames = [spark.createDataFrame([(w,) for w in ws], "word string") for ws in (sorted(set(bad)), good)]
+    got = {(r["word"], r["cand"]) for r in S.candidate_pairs(*frames).collect()}
+    assert want and want <= got
 
 
 def test_repair():
