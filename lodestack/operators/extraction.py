@@ -12,12 +12,19 @@ BAD_TYPE = r"['\"()<>|/\\]"
 
 
 def records(df: DataFrame, response: str, keep: list[str]) -> DataFrame:
-    """keep, pos and fields of every record line of the responses, delimiters repaired."""
-    text = F.replace(F.col(response), F.lit(DONE), F.lit(""))
+    """keep, pos and fields of every record of the responses, delimiters repaired.
+
+    Records end with a line, with the closing marker in any case, or where a delimiter stands
+    before the name of the next record's kind. A record that names no kind is an entity.
+    """
+    text = repaired_delimiters(F.regexp_replace(F.col(response), r"(?i)<\|complete\|>", "\n"))
+    text = F.regexp_replace(text, r"<\|#\|>[ \t]*(?=(?:entity|relation|relationship)[ \t]*<\|#\|>)", "\n")
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
     rows = df.select(*keep, F.posexplode(lines).alias("pos", "line"))
-    fields = F.transform(F.split(repaired_delimiters("line"), r"<\|#\|>"), lambda x: F.trim(x))
-    return rows.select(*keep, F.col("pos").cast("bigint"), fields.alias("fields")).filter(F.size("fields") > 1)
+    line = F.trim("line")
+    named = F.when(line.rlike(r"(?i)^\W{0,3}(?:entity|relation)"), line).otherwise(F.concat(F.lit("entity" + FIELD), line))
+    fields = F.transform(F.split(named, r"<\|#\|>"), lambda x: F.trim(x))
+    return rows.filter(F.contains("line", F.lit(FIELD))).select(*keep, F.col("pos").cast("bigint"), fields.alias("fields"))
 
 
 def entities(parsed: DataFrame, keep: list[str]) -> DataFrame:

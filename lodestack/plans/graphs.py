@@ -6,16 +6,12 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.operators import chunking as ch
-from lodestack.operators import context as cx
 from lodestack.operators import extraction as ex
 from lodestack.operators import graph as g
 from lodestack.operators import resolve as r
 from lodestack.operators import search as s
-from lodestack.operators import strategies as st
-from lodestack.operators.keyvalue import latest
 from lodestack.plans import tables as t
 from lodestack.plans.book import Book
-from lodestack.plans.searching import BM25_SQL
 from lodestack.session import table
 
 book = Book()
@@ -121,14 +117,12 @@ def has_edges(spark, sf):
     return asked.join(edges, ["src", "tgt"], "left").select("src", "tgt", F.col("weight").isNotNull().alias("there"))
 
 
-@book.query("incident_edges", t.cte("links", extra="hits AS (SELECT label FROM (SELECT a AS label, count(*) AS n FROM links GROUP BY 1) WHERE n = 2)") + """
-SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS tgt, weight FROM links JOIN hits ON label = a""")
+@book.query("incident_edges", t.cte("links", "nodes") + """
+SELECT label, least(a, b) AS src, greatest(a, b) AS tgt, weight FROM nodes JOIN links ON label = a""")
 def incident_edges(spark, sf):
-    """Edges at the nodes of degree two, each once."""
-    edges = t.edges(spark, sf)
-    hits = g.degrees(edges).filter("degree = 2").select(F.col("label").alias("src"))
-    met = g.both_ways(edges).join(hits, "src")
-    return met.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").distinct()
+    """The edges of every node, hubs among them."""
+    met = g.both_ways(t.edges(spark, sf)).join(t.nodes(spark, sf).withColumnRenamed("label", "src"), "src")
+    return met.select(F.col("src").alias("label"), F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight")
 
 
 @book.query("top_degree_subgraph", t.cte("degrees", extra="best AS (SELECT label FROM degrees ORDER BY degree DESC, label LIMIT 40)") + """
@@ -139,16 +133,17 @@ def top_degree_subgraph(spark, sf):
     return g.induced(edges, best)
 
 
-HOPS_SQL = """start AS (SELECT label FROM degrees ORDER BY degree, label LIMIT 3),
+HOPS_SQL = """start AS ((SELECT label FROM degrees ORDER BY degree, label LIMIT 3) UNION (SELECT label FROM degrees ORDER BY degree DESC, label LIMIT 1)),
 hops AS (SELECT label, 0 AS depth FROM start UNION SELECT b, 1 FROM links JOIN start ON label = a
   UNION SELECT l2.b, 2 FROM links l1 JOIN start ON label = l1.a JOIN links l2 ON l2.a = l1.b)"""
 
 
 @book.query("bfs_subgraph", t.cte("degrees", extra=HOPS_SQL) + "SELECT label, min(depth) AS depth FROM hops GROUP BY label")
 def bfs_subgraph(spark, sf):
-    """All nodes within two hops of three nodes, with their distance."""
+    """All nodes within two hops of three nodes and of the largest hub, with their distance."""
     edges = t.edges(spark, sf)
-    return g.within_hops(edges, g.degrees(edges).orderBy("degree", "label").limit(3), 2)
+    d = g.degrees(edges)
+    return g.within_hops(edges, d.orderBy("degree", "label").limit(3).unionByName(d.orderBy(F.desc("degree"), "label").limit(1)), 2)
 
 
 RANK_SQL = """total AS (SELECT a, sum(weight) AS total FROM links GROUP BY 1),
@@ -364,16 +359,23 @@ def parse_relations(spark, sf):
     return ex.relations(_parsed(spark, sf), ["workspace", "id"]).drop("pos")
 
 
+# Ways to spoil a delimiter: a part lost, doubled or written wrongly.
+SPOILT = (
+    "<|#|>", "<|##|>", "<|#||#|>", "<|#|||#|>", "<|\\#|>", "<|>", "<||>", "<X|#|>", "<|#|Y>", "<X|#|Y>", "<||#||>", "<#>", "<#|>", "<|#>", "<X#|>", "<|#X>",
+    "<|#|", "<|#||", "<|#:", "<||#>", "<||", "|#|>", "<|#|>|", "||#||", "<| # |>",
+)
+
+
 @book.query("fix_delimiters", """
 WITH bad AS (SELECT DISTINCT workspace, id, i, line FROM (SELECT workspace, id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM
   (SELECT DISTINCT workspace, id, string_split(return_value, chr(10)) AS l FROM ekr_llm_cache WHERE cache_type = 'extract' AND return_value IS NOT NULL)) WHERE contains(line, '<|#|>'))
-SELECT workspace, id, i::BIGINT AS pos, line AS fixed FROM bad""")
+SELECT workspace, id, i::BIGINT AS pos, 'a <> b < c > ' || line AS fixed FROM bad""")
 def fix_delimiters(spark, sf):
     """Delimiters that were spoilt in several ways, put right again."""
     cache = table(spark, sf, "ekr_llm_cache").filter("cache_type = 'extract' AND return_value IS NOT NULL").select("workspace", "id", "return_value").distinct()
     lines = cache.select("workspace", "id", F.posexplode(F.split("return_value", "\n")).alias("pos", "line")).filter(F.contains("line", F.lit("<|#|>")))
-    ways = F.array(*[F.lit(x) for x in ("<|#|>", "<|##|>", "<||>", "<#>", "<|#>", "<#|>", "<||#||>", "<| # |>")])
-    spoilt = F.replace("line", F.lit("<|#|>"), F.get(ways, F.col("pos") % 8))
+    ways = F.array(*[F.lit(x) for x in SPOILT])
+    spoilt = F.concat(F.lit("a <> b < c > "), F.replace("line", F.lit("<|#|>"), F.get(ways, F.col("pos") % len(SPOILT))))
     return lines.select("workspace", "id", (F.col("pos") + 1).cast("bigint").alias("pos"), T.repaired_delimiters(spoilt).alias("fixed"))
 
 
@@ -407,109 +409,3 @@ def summary_branch(spark, sf):
     rows = t.relations(spark, sf).filter("source_id IS NOT NULL AND content IS NOT NULL").select(F.col("source_id").alias("name"), "content").distinct()
     groups = rows.groupBy("name").agg(F.array_sort(F.collect_list("content")).alias("d"))
     return ex.summary_plan(groups, "d", 300).select("name", "tokens", "plan", "summary")
-
-
-# Strategies.
-def store(spark, sf) -> st.Store:
-    chunks = latest(t.chunks(spark, sf).filter("content IS NOT NULL"), ["id"], [F.col("workspace")]).select(F.col("id").alias("chunk_id"), "content", "file_path")
-    edges = t.edges(spark, sf)
-    pair = edges.select("src", "tgt", F.concat("src", "tgt").alias("label"))
-    rel = pair.join(t.stub_vectors(spark, sf, pair), "label").select("src", "tgt", "embedding").distinct()
-    links = t.relation_rows(spark, sf).select("src", "tgt", "ord", F.explode("source_ids").alias("chunk_id")).filter("chunk_id <> ''")
-    of = links.select(F.explode(F.array("src", "tgt")).alias("label"), "chunk_id", "ord").groupBy("label", "chunk_id").agg(F.min("ord").alias("ord"))
-    return st.Store(
-        t.stub_vectors(spark, sf, t.nodes(spark, sf)), rel,
-        t.stub_vectors(spark, sf, chunks.select(F.col("chunk_id").alias("label"))).withColumnRenamed("label", "chunk_id"), chunks, edges, of,
-    )
-
-
-def _dense_sql(name: str, source: str, key: str, order: str) -> str:
-    sim = "list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[])"
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, {key}, row_number() OVER (PARTITION BY query_id ORDER BY round({sim}, 12) DESC, {order}) AS rank FROM {source}, query_vectors) WHERE rank <= 8)"""
-
-
-STORE_SQL = ",\n".join([
-    "chunk_rows AS (SELECT id AS label, content, file_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY workspace) AS rn FROM chunks WHERE content IS NOT NULL) WHERE rn = 1)",
-    t.stub_sql("nodes", "entity_vectors"), "pairs AS (SELECT src, tgt, src || tgt AS label FROM edges)", t.stub_sql("pairs", "pair_vectors"),
-    "relation_vectors AS (SELECT DISTINCT src, tgt, embedding FROM pairs JOIN pair_vectors USING (label))", t.stub_sql("chunk_rows", "chunk_vectors"),
-    _dense_sql("entity_hits", "entity_vectors", "label", "label"), _dense_sql("relation_hits", "relation_vectors", "src, tgt", "src, tgt"),
-    _dense_sql("chunk_hits", "chunk_vectors", "label AS chunk_id", "label"),
-    """local_edges AS (SELECT query_id, src, tgt, row_number() OVER (PARTITION BY query_id ORDER BY hit, weight DESC, src, tgt) AS rank FROM
-  (SELECT query_id, least(a, b) AS src, greatest(a, b) AS tgt, max(weight) AS weight, min(rank) AS hit FROM entity_hits JOIN links ON label = a GROUP BY 1, 2, 3))""",
-    """end_nodes AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM
-  (SELECT query_id, label, min(k) AS k FROM (SELECT query_id, src AS label, rank * 2 AS k FROM relation_hits UNION ALL SELECT query_id, tgt, rank * 2 + 1 FROM relation_hits) GROUP BY 1, 2))""",
-    """hybrid_entities AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM
-  (SELECT query_id, label, min(k) AS k FROM (SELECT query_id, label, rank * 2 AS k FROM entity_hits UNION ALL SELECT query_id, label, rank * 2 + 1 FROM end_nodes) GROUP BY 1, 2))""",
-    """hybrid_relations AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM
-  (SELECT query_id, key, min(k) AS k FROM (SELECT query_id, src || '<SEP>' || tgt AS key, rank * 2 AS k FROM local_edges UNION ALL SELECT query_id, src || '<SEP>' || tgt, rank * 2 + 1 FROM relation_hits) GROUP BY 1, 2))""",
-    """source_rows AS (SELECT src, tgt, ord, unnest(source_ids) AS chunk_id FROM relation_rows),
-entity_chunks AS (SELECT label, chunk_id, min(ord) AS ord FROM (SELECT src AS label, chunk_id, ord FROM source_rows UNION ALL SELECT tgt, chunk_id, ord FROM source_rows) WHERE chunk_id <> '' GROUP BY 1, 2),
-chunks_of AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY er, n DESC, ord, chunk_id) AS rank FROM
-  (SELECT query_id, chunk_id, count(DISTINCT label) AS n, min(rank) AS er, min(ord) AS ord FROM hybrid_entities JOIN entity_chunks USING (label) GROUP BY 1, 2)) WHERE rank <= 8)""",
-    """mix_chunks AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM
-  (SELECT query_id, chunk_id, min(k) AS k FROM (SELECT query_id, chunk_id, rank * 2 AS k FROM chunk_hits UNION ALL SELECT query_id, chunk_id, rank * 2 + 1 FROM chunks_of) GROUP BY 1, 2))""",
-])
-STRATEGY = t.cte("chunks", "nodes", "relation_rows", "edges", "links", "query_vectors", extra=STORE_SQL)
-
-
-@book.query("strategy_naive", STRATEGY + "SELECT query_id, chunk_id, rank FROM chunk_hits")
-def strategy_naive(spark, sf):
-    return st.naive(store(spark, sf), t.query_vectors(spark, sf), 8)
-
-
-@book.query("strategy_local", STRATEGY + "SELECT query_id, src, tgt, rank FROM local_edges")
-def strategy_local(spark, sf):
-    return st.local(store(spark, sf), t.query_vectors(spark, sf), 8)[1]
-
-
-@book.query("strategy_global", STRATEGY + "SELECT query_id, label, rank FROM end_nodes")
-def strategy_global(spark, sf):
-    return st.global_(store(spark, sf), t.query_vectors(spark, sf), 8)[0]
-
-
-@book.query("strategy_hybrid", STRATEGY + "SELECT query_id, label AS key, rank, 'entity' AS what FROM hybrid_entities UNION ALL SELECT query_id, key, rank, 'relation' FROM hybrid_relations")
-def strategy_hybrid(spark, sf):
-    entities, relations = st.hybrid(store(spark, sf), t.query_vectors(spark, sf), 8)
-    return entities.select("query_id", F.col("label").alias("key"), "rank", F.lit("entity").alias("what")).unionByName(relations.withColumn("what", F.lit("relation")))
-
-
-@book.query("strategy_mix", STRATEGY + "SELECT query_id, chunk_id, rank FROM mix_chunks")
-def strategy_mix(spark, sf):
-    return st.mix(store(spark, sf), t.query_vectors(spark, sf), 8, 8)[2]
-
-
-CHUNK_BM25 = BM25_SQL.replace("FROM documents", "FROM (SELECT label AS doc_id, content AS text FROM chunk_rows)").replace("rank <= 20", "rank <= 8")
-
-
-@book.query("strategy_hybrid_mix", t.cte("chunks", "nodes", "relation_rows", "edges", "links", "query_vectors", "query_terms", extra=STORE_SQL + ",\n" + CHUNK_BM25 + """,
-lists AS (SELECT query_id, chunk_id, rank FROM chunk_hits UNION ALL SELECT query_id, doc_id, rank FROM sparse),
-fused AS (SELECT query_id, chunk_id, sum(1e0 / (60e0 + rank)) AS score, min(rank) AS best FROM lists GROUP BY 1, 2)""") + """
-SELECT query_id, chunk_id, rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best, chunk_id) AS rank FROM fused) WHERE rank <= 8""")
-def strategy_hybrid_mix(spark, sf):
-    return st.hybrid_mix(store(spark, sf), t.query_vectors(spark, sf), t.query_terms(spark), 8)[2]
-
-
-@book.query("context_render", STRATEGY + """,
- cited AS (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank)) AS ref FROM chunk_hits JOIN chunk_rows ON label = chunk_id WHERE file_path <> '' GROUP BY 1, 2),
- blocks AS (SELECT query_id, rank, '<chunk ref="' || coalesce(ref, 0) || '">' || chr(10) || content || chr(10) || '</chunk>' AS block, length(content)::DOUBLE / 4 AS tokens
-   FROM chunk_hits JOIN chunk_rows ON label = chunk_id LEFT JOIN cited USING (query_id, file_path)),
- used AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM blocks)
-SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS context FROM used WHERE used <= 800 GROUP BY query_id""".replace("\n ", "\n"))
-def context_render(spark, sf):
-    """The chunks of the plain strategy within a budget, tagged with the number of their file."""
-    sto = store(spark, sf)
-    hits = st.naive(sto, t.query_vectors(spark, sf), 8).join(sto.chunks, "chunk_id")
-    refs = s.references(hits, "file_path", "rank").select("query_id", "file_path", "reference_id")
-    fit = s.within_budget(hits, ["query_id"], ["rank"], "content", 800).join(refs, ["query_id", "file_path"], "left").fillna(0, ["reference_id"])
-    return cx.rendered(fit.withColumn("block", cx.chunk_block("reference_id", "content")), "block", "rank", "context")
-
-
-@book.query("subquery_merge", STRATEGY + """,
- rows_ AS (SELECT query_id % 2 AS question_id, query_id AS sub, chunk_id, rank FROM chunk_hits),
- first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY sub, rank) AS n FROM rows_) WHERE n = 1)
-SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY sub, rank) AS position FROM first""")
-def subquery_merge(spark, sf):
-    """Chunks of several sub-queries as one list a question."""
-    hits = st.naive(store(spark, sf), t.query_vectors(spark, sf), 8)
-    rows = hits.select((F.col("query_id") % 2).alias("question_id"), F.col("query_id").alias("sub"), "chunk_id", "rank")
-    return cx.merged_results(rows, F.col("chunk_id"), ("sub", "rank")).select("question_id", "chunk_id", "position")

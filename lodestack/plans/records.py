@@ -67,17 +67,24 @@ def delete_by_ids(spark, sf):
     return kv.delete_keys(rows.select("workspace", "id"), rows.filter("tokens IS NULL OR tokens < 50"), ["workspace", "id"])
 
 
-@book.query("get_by_ids_ordered", """
-WITH wanted AS (SELECT row_number() OVER (ORDER BY x) AS pos, x * 37 % 1500 AS doc_id FROM range(40) r(x))
-SELECT pos, w.doc_id, d.source, d.n_chars FROM wanted w LEFT JOIN documents d USING (doc_id)""")
+@book.query("get_by_ids_ordered", t.cte("status", "docs") + """
+SELECT s.workspace, s.id AS status_id, pos, w.id, d.doc_name, length(d.content) AS n_chars FROM
+(SELECT workspace, id, unnest(l) AS wid, generate_subscripts(l, 1) AS pos FROM (SELECT workspace, id, [id, 'doc-none', id] AS l FROM docs_status)) s
+JOIN (SELECT 1) ON TRUE LEFT JOIN docs d ON d.workspace = s.workspace AND d.id = s.wid, LATERAL (SELECT s.wid AS id) w""")
 def get_by_ids_ordered(spark, sf):
-    wanted = spark.range(40).select((F.col("id") + 1).alias("pos"), (F.col("id") * 37 % 1500).alias("doc_id"))
-    return kv.by_ids(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), wanted, "doc_id")
+    """For the request of every status row, its document, one that isn't there and again its document, in this order."""
+    ids = F.array(F.col("id"), F.lit("doc-none"), F.col("id"))
+    wanted = t.status(spark, sf).select("workspace", F.col("id").alias("status_id"), F.posexplode(ids).alias("pos", "id")).withColumn("pos", F.col("pos").cast("bigint") + 1)
+    docs = t.docs(spark, sf).select("workspace", "id", "doc_name", F.length("content").alias("n_chars"))
+    return wanted.join(docs, ["workspace", "id"], "left").select("workspace", "status_id", "pos", "id", "doc_name", "n_chars")
 
 
-@book.query("filter_keys", "SELECT x AS doc_id FROM range(0, 3000, 3) r(x) WHERE x NOT IN (SELECT doc_id FROM documents)")
+@book.query("filter_keys", """
+SELECT DISTINCT c AS id FROM (SELECT unnest(chunk_ids) AS c FROM ekr_vdb_relation) WHERE c <> '' AND c NOT IN (SELECT id FROM ekr_doc_chunks)""")
 def filter_keys(spark, sf):
-    return kv.missing_keys(spark.range(0, 3000, 3).select(F.col("id").alias("doc_id")), table(spark, sf, "documents"), "doc_id")
+    """Which of all chunk ids that relations name are missing."""
+    asked = table(spark, sf, "ekr_vdb_relation").select(F.explode("chunk_ids").alias("id")).filter("id <> ''")
+    return kv.missing_keys(asked, table(spark, sf, "ekr_doc_chunks"), "id")
 
 
 @book.query("status_counts", t.cte("status", extra="known(status) AS (VALUES ('pending'), ('processing'), ('preprocessed'), ('processed'), ('failed'))") + """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.functions.vectors import cosine
 from lodestack.operators import search as s
 from lodestack.plans import tables as t
 from lodestack.plans.book import Book
@@ -22,7 +21,7 @@ scores AS (SELECT query_id, doc_id, sum(idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0
   FROM query_terms JOIN stats USING (term) JOIN postings USING (term), avgdl GROUP BY 1, 2 HAVING score > 0),
 sparse AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 20)"""
 DENSE_SQL = """dense AS (SELECT * FROM (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]) DESC, vec_id) AS rank
+  row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]), 12) DESC, vec_id) AS rank
   FROM embeddings, query_vectors) WHERE rank <= 20)"""
 
 
@@ -49,12 +48,12 @@ def bm25_batch(spark, sf):
 @book.query("corpus_stats", t.cte("query_terms", extra=BM25_SQL) + "SELECT term, df, round(idf, 6) AS idf FROM stats")
 def corpus_stats(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return s.term_stats(s.postings(docs, "doc_id", "text"), docs, "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
+    return s.term_stats(docs, "text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@book.query("dense_topk", t.cte("query_vectors", extra=DENSE_SQL) + "SELECT vec_id, round(score, 6) AS score, rank FROM dense WHERE query_id = 3")
+@book.query("dense_topk", t.cte("query_vectors", extra=DENSE_SQL) + "SELECT vec_id, round(score, 6) AS score, rank FROM dense WHERE query_id = 20")
 def dense_topk(spark, sf):
-    one = t.query_vectors(spark, sf).filter("query_id = 3")
+    one = t.query_vectors(spark, sf).filter("query_id = 20")
     return s.dense(table(spark, sf, "embeddings"), one, "vec_id", "embedding", 20).select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -69,17 +68,6 @@ def dense_threshold(spark, sf):
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@book.query("vector_pick", t.cte("query_vectors") + """
-SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id
-ORDER BY list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]) DESC, vec_id) AS rank
-FROM embeddings, query_vectors WHERE vec_id % 7 = query_id) WHERE rank <= 12""")
-def vector_pick(spark, sf):
-    """The candidates of each query that are nearest to it, by their stored vectors."""
-    candidates = table(spark, sf, "embeddings").withColumn("query_id", F.col("vec_id") % 7)
-    met = candidates.join(F.broadcast(t.query_vectors(spark, sf)), "query_id").withColumn("score", cosine(F.col("embedding"), F.col("query")))
-    return s.top(met, ["query_id"], [F.col("score").desc(), F.col("vec_id")], 12).select("query_id", "vec_id", "rank")
-
-
 FUSED_SQL = BM25_SQL + ",\n" + DENSE_SQL + """,
 lists AS (SELECT query_id, doc_id AS key, rank FROM sparse UNION ALL SELECT query_id, vec_id, rank FROM dense),
 fused AS (SELECT query_id, key, sum(1e0 / (60e0 + rank)) AS score, min(rank) AS best FROM lists GROUP BY 1, 2)"""

@@ -40,7 +40,7 @@ def relation_rows(spark: SparkSession, sf: str) -> DataFrame:
     """src, tgt, weight, keywords, source_ids, path and ord of every relation row."""
     return relations(spark, sf).filter("source_id IS NOT NULL AND target_id IS NOT NULL").select(
         F.col("source_id").alias("src"), F.col("target_id").alias("tgt"), F.lit(1.0).alias("weight"),
-        F.split("content", "\t")[0].alias("keywords"), F.col("chunk_ids").alias("source_ids"), "file_path", F.expr(EPOCH).alias("ord"), "id", "workspace",
+        F.split("content", "\t")[0].alias("keywords"), F.col("chunk_ids").alias("source_ids"), "file_path", F.expr(EPOCH).alias("ord"), "id", "workspace", "content",
     )
 
 
@@ -58,8 +58,9 @@ def stub_vectors(spark: SparkSession, sf: str, labels: DataFrame) -> DataFrame:
     return labels.select("label", number.cast("bigint").alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id").select("label", "embedding")
 
 
-def query_vectors(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of all searches by vector: every vector whose id is divisible by 20."""
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 QUERY_TERMS = {
@@ -83,12 +84,12 @@ SQL = {
   ORDER BY updated_at DESC, status NULLS FIRST) AS rn FROM ekr_doc_status) WHERE rn = 1)""",
     "nodes": "nodes AS (SELECT DISTINCT id AS label FROM knowledge_graph_node)",
     "relation_rows": """relation_rows AS (SELECT source_id AS src, target_id AS tgt, 1e0 AS weight, split_part(content, chr(9), 1) AS keywords,
-  chunk_ids AS source_ids, file_path, epoch_us(create_time) AS ord, id, workspace FROM relations WHERE source_id IS NOT NULL AND target_id IS NOT NULL)""",
+  chunk_ids AS source_ids, file_path, epoch_us(create_time) AS ord, id, workspace, content FROM relations WHERE source_id IS NOT NULL AND target_id IS NOT NULL)""",
     "edges": """edges AS (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, count(*)::DOUBLE AS weight
   FROM (SELECT src AS src, tgt AS tgt FROM relation_rows WHERE src <> tgt) GROUP BY 1, 2)""",
     "links": "links AS (SELECT src AS a, tgt AS b, weight FROM edges UNION ALL SELECT tgt, src, weight FROM edges)",
     "degrees": "degrees AS (SELECT a AS label, count(*) AS degree FROM links GROUP BY 1)",
-    "query_vectors": "query_vectors AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 5)",
+    "query_vectors": "query_vectors AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0)",
     "query_terms": "query_terms(query_id, term) AS (VALUES " + ", ".join(f"({q}, '{t}')" for q, ts in QUERY_TERMS.items() for t in ts) + ")",
 }
 

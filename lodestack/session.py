@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +93,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_all(*dfs: DataFrame) -> list[DataFrame]:
+    """cut() of several results that don't depend on each other, at the same time."""
+    with ThreadPoolExecutor(max_workers=min(8, len(dfs))) as pool:
+        return list(pool.map(cut, dfs))
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table written by cut(); results that read them become unusable."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -41,11 +41,18 @@ def read_content_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_parse(spark: SparkSession, root: str, stem: str) -> str | None:
-    """The first parser output of a document below any folder of root, or None."""
+    """The first parser output of a document in any folder below root, however deep, or None."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/{stem}_content_list.json")
-    found = pattern.getFileSystem(conf).globStatus(pattern)
-    return min((str(f.getPath().toString()) for f in found), default=None) if found else None
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(conf)
+    if not fs.exists(start):
+        return None
+    files, found = fs.listFiles(start, True), []
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() == f"{stem}_content_list.json":
+            found.append(path.toString())
+    return min(found, default=None)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
