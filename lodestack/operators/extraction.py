@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import estimated_tokens, extracted_name, identifier, is_number, repaired_delimiters, sanitize
+from lodestack.functions.text import extracted_name, identifier, is_number, repaired_delimiters, sanitize
 
 FIELD, DONE = "<|#|>", "<|COMPLETE|>"
 BAD_TYPE = r"['\"()<>|/\\]"
@@ -64,12 +64,3 @@ def cached_extractions(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     met = calls.join(refs, ["workspace", "chunk_id"])
     rank = F.row_number().over(W.partitionBy("workspace", "chunk_id").orderBy("create_time", "cache_id")).cast("bigint")
     return met.withColumn("rank", rank).select("workspace", "chunk_id", "cache_id", "rank")
-
-
-def summary_plan(groups: DataFrame, descriptions: str, most_tokens: float = 1200, most_parts: int = 8) -> DataFrame:
-    """How the descriptions of an item become one: itself, joined, or by the model; with the joined text where no model is needed."""
-    tokens = F.aggregate(F.transform(F.col(descriptions), lambda d: estimated_tokens(d)), F.lit(0.0), lambda s, x: s + x)
-    n = F.size(descriptions)
-    plan = F.when(n == 0, "empty").when(n == 1, "single").when((n < most_parts) & (tokens < most_tokens), "joined").otherwise("model")
-    out = groups.withColumn("tokens", tokens).withColumn("plan", plan)
-    return out.withColumn("summary", F.when(F.col("plan") != "model", F.array_join(descriptions, "<SEP>")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +71,34 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 
 def bounded_search(edges: DataFrame, start: str, hops: int, most: int) -> DataFrame:
-    """label, depth and position of at most `most` nodes, visited level by level, high degrees first, ties by label."""
-    found = within_hops(edges, edges.sparkSession.createDataFrame([(start,)], "label string"), hops)
-    ranked = found.join(degrees(edges), "label", "left").fillna(0, ["degree"])
-    return ranked.orderBy("depth", F.desc("degree"), "label").limit(most)
+    """label, depth and degree of at most `most` nodes, visited level by level, high degrees first, ties by label.
+
+    A level that exceeds what is left is cut before the next is searched from it, so that
+    the frontier never holds more than `most` nodes.
+    """
+    links = both_ways(edges.select("src", "tgt"))
+    counts = degrees(edges)
+    first = edges.select(F.explode(F.array("src", "tgt")).alias("label")).filter(F.col("label") == start).limit(1)
+    seen = cut(first.withColumn("depth", F.lit(0)).join(counts, "label", "left").fillna(0, ["degree"]))
+    frontier, left = seen, most - seen.count()
+    for depth in range(1, hops + 1):
+        if left <= 0:
+            break
+        reached = frontier.select(F.col("label").alias("src")).join(links, "src").select(F.col("tgt").alias("label")).distinct().join(seen, "label", "left_anti")
+        level = reached.join(counts, "label", "left").fillna(0, ["degree"]).orderBy(F.desc("degree"), "label").limit(left)
+        frontier = cut(level.select("label", F.lit(depth).alias("depth"), "degree"))
+        found = frontier.count()
+        if not found:
+            break
+        left -= found
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def first_nodes(found: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """The first `most` nodes of a search by depth, degree and label."""
+    ranked = found.select("label", "depth").join(degrees(edges), "label", "left").fillna(0, ["degree"])
+    return ranked.orderBy("depth", F.desc("degree"), "label").limit(most).select("label", "depth")
 
 
 def pagerank(edges: DataFrame, rounds: int, anchors: DataFrame | None = None, damping: float = 0.85, anchor_weight: float = 10.0) -> DataFrame:
@@ -104,30 +125,6 @@ def pagerank(edges: DataFrame, rounds: int, anchors: DataFrame | None = None, da
     return ranks
 
 
-def local_pagerank(local: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, anchor_weight: float = 10.0) -> DataFrame:
-    """query_id, label and rank on each query's own small graph (query_id, src, tgt, weight, a_src, a_tgt: whether the ends are anchors)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        labels, at = np.unique(np.concatenate([group["src"], group["tgt"]]), return_inverse=True)
-        s, t, w = at[: len(group)], at[len(group) :], group["weight"].to_numpy(float)
-        jump = np.ones(len(labels))
-        jump[s[group["a_src"].to_numpy(bool)]] = anchor_weight
-        jump[t[group["a_tgt"].to_numpy(bool)]] = anchor_weight
-        jump /= jump.sum()
-        total = np.bincount(s, w, len(labels)) + np.bincount(t, w, len(labels))
-        rank = jump
-        for _ in range(rounds):
-            share = rank / total
-            new = (1 - damping) * jump + damping * (np.bincount(t, share[s] * w, len(labels)) + np.bincount(s, share[t] * w, len(labels)))
-            done = np.abs(new - rank).sum() < len(labels) * tolerance
-            rank = new
-            if done:
-                break
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "label": labels, "rank": rank})
-
-    return local.groupBy("query_id").applyInPandas(run, "query_id bigint, label string, rank double")
-
-
 def smart_rank(edges: DataFrame, ranks: DataFrame, anchors: DataFrame) -> DataFrame:
     """src, tgt and the sum of the ends' ranks, doubled between two anchors."""
     r = ranks.select("label", "rank")

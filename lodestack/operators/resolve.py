@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import merge_key
+from lodestack.functions.text import SEP, merge_key
 from lodestack.operators.graph import both_ways, canonical
 
 FIFO, KEEP = "FIFO", "KEEP"
@@ -66,23 +67,37 @@ def ordered_list(value: Column, *order: Column) -> Column:
     return F.array_distinct(F.transform(pairs, lambda x: x.v))
 
 
-def merge_nodes(rows: DataFrame, most_ids: int = 300, method: str = FIFO) -> DataFrame:
-    """One node an entity from rows (name, type, description, source_id, file_path, ord).
+def first_values(rows: DataFrame, keys: list[str], value: str, most: int, method: str = FIFO) -> DataFrame:
+    """keys and an ordered list of at most `most` distinct values: the last by FIFO, else the first.
 
-    Salted partial lists come first, so that one entity may hold a third of the rows.
+    The list is cut by ranks before it is gathered, so that no group is larger than `most`.
     """
-    votes = type_votes(rows, "name", "type", "ord")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(32)))
+    each = rows.filter(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.min("ord").alias("ord"))
+    down = method == FIFO
+    order = [F.col("ord").desc(), F.col(value).desc()] if down else [F.col("ord"), F.col(value)]
+    kept = each.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= most)
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(value).alias("v")))), lambda x: x.v).alias(f"{value}s"))
+
+
+def described(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys and description: at most `most` distinct ones, by time and among equals the longer first."""
+    each = rows.filter("description <> ''").groupBy(*keys, "description").agg(F.min("ord").alias("ord"))
+    order = [F.col("ord"), F.length("description").desc(), F.col("description")]
+    kept = each.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "description"))), lambda x: x.description)
+    return kept.groupBy(*keys).agg(F.array_join(listed, SEP).alias("description"))
 
-    def lists(column: str) -> DataFrame:
-        part = salted.filter(F.col(column).isNotNull() & (F.col(column) != "")).groupBy("name", column, "salt").agg(F.min("ord").alias("ord"))
-        firsts = part.groupBy("name", column).agg(F.min("ord").alias("ord"))
-        return firsts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", column))), lambda x: x[column]).alias(f"{column}s"))
 
-    out = votes
-    for column in ("description", "source_id", "file_path"):
-        out = out.join(lists(column), "name", "left")
-    return out.withColumn("source_ids", limited(F.col("source_ids"), most_ids, method))
+def merge_nodes(rows: DataFrame, most: int = 300, method: str = FIFO) -> DataFrame:
+    """One node an entity from rows (name, type, description, source_id, file_path, ord).
+
+    Equal values are counted before they are shuffled, and lists are cut by rank before they
+    are gathered, so that one entity may hold a third of the rows.
+    """
+    out = type_votes(rows, "name", "type", "ord")
+    for part in (described(rows, ["name"], most), first_values(rows, ["name"], "source_id", most, method), first_values(rows, ["name"], "file_path", most, method)):
+        out = out.join(part, "name", "left")
+    return out
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
@@ -116,33 +131,21 @@ def merged_attribute(value: str, order: str, strategy: str = "keep_first") -> Co
     given = F.when(v.isNotNull() & (v.cast("string") != ""), v)
     ordered = F.transform(F.array_sort(F.collect_list(F.when(given.isNotNull(), F.struct(o.alias("o"), given.cast("string").alias("v"))))), lambda x: x.v)
     if strategy == "concatenate":
-        return F.array_join(ordered, "\n\n")
+        return F.array_join(ordered, SEP)
     if strategy == "keep_first":
         return F.min_by(given, F.when(given.isNotNull(), o))
     if strategy == "keep_last":
         return F.max_by(given, F.when(given.isNotNull(), o))
     if strategy == "join_unique":
-        return F.array_join(F.array_distinct(ordered), "<SEP>")
+        return F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: F.split(x, SEP)))), SEP)
     if strategy == "join_unique_comma":
-        return F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: F.split(x, ", *")))), ",")
+        items = F.transform(F.flatten(F.transform(ordered, lambda x: F.split(x, ","))), lambda x: F.trim(x))
+        return F.array_join(F.array_sort(F.array_distinct(F.filter(items, lambda x: x != ""))), ",")
     if strategy == "max":
-        return F.max(v.cast("double"))
+        return F.max(v.try_cast("double"))
     raise ValueError(f"strategy must be one of {STRATEGIES}")
 
 
-def delete_impact(items: DataFrame, chunk_ids: str, gone: Column) -> DataFrame:
-    """What deleting the chunks in the array `gone` does to each item: delete, rebuild or untouched, with what remains."""
-    remaining = F.filter(F.col(chunk_ids), lambda x: ~F.array_contains(gone, x))
-    touched = F.size(remaining) < F.size(chunk_ids)
-    impact = F.when(~touched, "untouched").when(F.size(remaining) == 0, "delete").otherwise("rebuild")
-    return items.withColumn("remaining", remaining).withColumn("impact", impact)
-
-
-def without_entity(nodes: DataFrame, edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without an entity."""
-    return nodes.filter(F.col("label") != label), edges.filter((F.col("src") != label) & (F.col("tgt") != label))
-
-
 def renamed(edges: DataFrame, old: str, new: str) -> DataFrame:
     """Edges with an entity renamed; renaming into an existing one merges their edges."""
     return repointed(edges, edges.sparkSession.createDataFrame([(old, new)], "label string, target string"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lodestack.plans.book import Book
-from lodestack.session import shared_dir, table
+from lodestack.session import scratch, table
 from lodestack.sources.catalog import Catalog
 from lodestack.streaming import ingest
 
@@ -36,9 +34,9 @@ SELECT 'doc-' || md5(content) AS id, 'processed' AS status, length(content)::INT
   CAST(ceil(len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+')) / 50.0) AS BIGINT) AS chunks_count FROM docs""")
 def stream_ingest(spark, sf):
     """Documents ingested as a stream: the status table it ends with."""
-    root = f"{shared_dir(spark)}/lodestack/ingest-{next(tempfile._get_candidate_names())}"
+    root = scratch(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     catalog = Catalog(spark, root)
     query = ingest.ingest_stream(spark, f"{sf}/documents.parquet*", docs.schema, catalog, f"{root}/checkpoint")
     query.awaitTermination()
-    return catalog.read("doc_status")
+    return catalog.read_latest("doc_status", ["id"]).select("id", "status", "content_length", "chunks_count")

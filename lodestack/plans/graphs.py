@@ -8,8 +8,10 @@ from lodestack.functions import text as T
 from lodestack.operators import chunking as ch
 from lodestack.operators import extraction as ex
 from lodestack.operators import graph as g
+from lodestack.operators import maintenance as m
 from lodestack.operators import resolve as r
 from lodestack.operators import search as s
+from lodestack.operators import summaries as sm
 from lodestack.plans import tables as t
 from lodestack.plans.book import Book
 from lodestack.session import table
@@ -208,13 +210,13 @@ def type_vote(spark, sf):
 
 @book.query("merge_nodes", "WITH " + NODE_ROWS + """,
 votes AS (SELECT name, type FROM (SELECT name, type, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, min(ord), type DESC) AS rn FROM node_rows GROUP BY name, type) WHERE rn = 1),
-d AS (SELECT name, string_agg(v, '<SEP>' ORDER BY ord, v) AS descriptions FROM (SELECT name, description AS v, min(ord) AS ord FROM node_rows WHERE description <> '' GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT name, string_agg(v, '<SEP>' ORDER BY ord, length(v) DESC, v) AS descriptions FROM (SELECT name, description AS v, min(ord) AS ord FROM node_rows WHERE description <> '' GROUP BY 1, 2) GROUP BY 1),
 f AS (SELECT name, string_agg(v, '<SEP>' ORDER BY ord, v) AS file_paths FROM (SELECT name, file_path AS v, min(ord) AS ord FROM node_rows WHERE file_path <> '' GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT name, string_agg(v, '<SEP>' ORDER BY ord, v) AS source_ids FROM (SELECT name, source_id AS v, min(ord) AS ord FROM node_rows WHERE source_id <> '' GROUP BY 1, 2) GROUP BY 1)
 SELECT name, type, descriptions, source_ids, file_paths FROM votes LEFT JOIN d USING (name) LEFT JOIN f USING (name) LEFT JOIN s USING (name)""")
 def merge_nodes(spark, sf):
     merged = r.merge_nodes(_node_rows(spark, sf))
-    return merged.select("name", "type", *[F.array_join(c, "<SEP>").alias(c) for c in ("descriptions", "source_ids", "file_paths")])
+    return merged.select("name", "type", F.col("description").alias("descriptions"), *[F.array_join(c, "<SEP>").alias(c) for c in ("source_ids", "file_paths")])
 
 
 @book.query("merge_edges", t.cte("relation_rows", extra="""
@@ -233,10 +235,10 @@ def missing_endpoints(spark, sf):
 
 
 def _sources(spark, sf):
-    rows = g.canonical(t.relation_rows(spark, sf).select("src", "tgt", "ord", "source_ids"))
-    each = rows.select("src", "tgt", "ord", F.posexplode("source_ids").alias("i", "c")).filter("c <> ''")
-    first = each.groupBy("src", "tgt", "c").agg(F.min("ord").alias("ord"), F.min("i").alias("i"))
-    return first.groupBy("src", "tgt").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "i", "c"))), lambda x: x.c).alias("ids"))
+    """src, tgt, workspace, chunk_id and ord of every chunk an edge comes from; ord counts places in a row's list too."""
+    rows = g.canonical(t.relation_rows(spark, sf).select("src", "tgt", "ord", "source_ids", "workspace"))
+    each = rows.select("src", "tgt", "workspace", "ord", F.posexplode("source_ids").alias("i", "chunk_id")).filter("chunk_id <> ''")
+    return each.groupBy("src", "tgt", "workspace", "chunk_id").agg(F.struct(F.min("ord").alias("ord"), F.min("i").alias("i")).alias("ord"))
 
 
 SOURCE_IDS = """firsts AS (SELECT src, tgt, c, min(ord) AS ord, min(i) AS i FROM (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, ord, unnest(source_ids) AS c, generate_subscripts(source_ids, 1) AS i
@@ -244,29 +246,34 @@ SOURCE_IDS = """firsts AS (SELECT src, tgt, c, min(ord) AS ord, min(i) AS i FROM
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY ord, i, c) AS n, count(*) OVER (PARTITION BY src, tgt) AS total FROM firsts)"""
 
 
+def _kept(spark, sf, method):
+    each = _sources(spark, sf).groupBy("src", "tgt", "chunk_id").agg(F.struct(F.min("ord.ord"), F.min("ord.i")).alias("ord"))
+    kept = m.kept_sources(each, ["src", "tgt"], 2, method)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x.chunk_id)
+    return kept.groupBy("src", "tgt").agg(F.array_join(ids, "<SEP>").alias("source_ids"))
+
+
 @book.query("source_ids_fifo", t.cte("relation_rows", extra=SOURCE_IDS) + "SELECT src, tgt, string_agg(c, '<SEP>' ORDER BY n) AS source_ids FROM ranked WHERE n > total - 2 GROUP BY 1, 2")
 def source_ids_fifo(spark, sf):
     """The last two chunks of every edge."""
-    return _sources(spark, sf).select("src", "tgt", F.array_join(r.limited(F.col("ids"), 2), "<SEP>").alias("source_ids"))
+    return _kept(spark, sf, r.FIFO)
 
 
 @book.query("source_ids_keep", t.cte("relation_rows", extra=SOURCE_IDS) + "SELECT src, tgt, string_agg(c, '<SEP>' ORDER BY n) AS source_ids FROM ranked WHERE n <= 2 GROUP BY 1, 2")
 def source_ids_keep(spark, sf):
-    return _sources(spark, sf).select("src", "tgt", F.array_join(r.limited(F.col("ids"), 2, r.KEEP), "<SEP>").alias("source_ids"))
+    return _kept(spark, sf, r.KEEP)
 
 
-@book.query("delete_impact", t.cte("relation_rows", "docs", extra=SOURCE_IDS + """,
-gone AS (SELECT DISTINCT id AS c FROM ekr_doc_chunks WHERE full_doc_id IN (SELECT id FROM docs WHERE right(id, 1) IN ('0', '1', '2', '3')))""") + """
+@book.query("delete_impact", t.cte("relation_rows", "docs", extra="""
+each_source AS (SELECT DISTINCT least(src, tgt) AS src, greatest(src, tgt) AS tgt, workspace, c FROM (SELECT src AS src, tgt AS tgt, workspace, unnest(source_ids) AS c FROM relation_rows WHERE src <> tgt) WHERE c <> ''),
+gone AS (SELECT DISTINCT workspace, id AS c FROM ekr_doc_chunks WHERE (workspace, full_doc_id) IN (SELECT (workspace, id) FROM docs WHERE right(id, 1) IN ('0', '1', '2', '3')))""") + """
 SELECT src, tgt, CASE WHEN count(g.c) = 0 THEN 'untouched' WHEN count(g.c) = count(*) THEN 'delete' ELSE 'rebuild' END AS impact, count(*) - count(g.c) AS n_remaining
-FROM ranked r LEFT JOIN gone g ON g.c = r.c GROUP BY 1, 2""")
+FROM each_source r LEFT JOIN gone g ON g.c = r.c AND g.workspace = r.workspace GROUP BY 1, 2""")
 def delete_impact(spark, sf):
-    """What deleting a fourth of the documents does to every edge, without gathering the chunks that go."""
-    gone_docs = t.docs(spark, sf).filter(F.substring("id", -1, 1).isin("0", "1", "2", "3")).select(F.col("id").alias("full_doc_id")).distinct()
-    gone = table(spark, sf, "ekr_doc_chunks").join(gone_docs, "full_doc_id", "left_semi").select(F.col("id").alias("c")).distinct().withColumn("g", F.lit(1))
-    each = _sources(spark, sf).select("src", "tgt", F.explode("ids").alias("c")).join(gone, "c", "left")
-    counts = each.groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"), F.count("g").alias("k"))
-    impact = F.when(F.col("k") == 0, "untouched").when(F.col("k") == F.col("n"), "delete").otherwise("rebuild")
-    return counts.select("src", "tgt", impact.alias("impact"), (F.col("n") - F.col("k")).alias("n_remaining"))
+    """What deleting a fourth of the documents does to every edge: sources count in their workspace, and nothing is gathered."""
+    docs = t.docs(spark, sf).filter(F.substring("id", -1, 1).isin("0", "1", "2", "3")).select("workspace", F.col("id").alias("full_doc_id")).distinct()
+    gone = table(spark, sf, "ekr_doc_chunks").join(docs, ["workspace", "full_doc_id"], "left_semi").select("workspace", F.col("id").alias("chunk_id"))
+    return m.impact(_sources(spark, sf).select("src", "tgt", "workspace", "chunk_id"), ["src", "tgt"], gone)
 
 
 @book.query("incremental_chunk_ids", t.cte("status") + """
@@ -324,8 +331,8 @@ def rename_entity(spark, sf):
 SELECT src, tgt, weight FROM edges WHERE src NOT IN (SELECT label FROM hub) AND tgt NOT IN (SELECT label FROM hub)""")
 def delete_entity(spark, sf):
     edges = t.edges(spark, sf)
-    label = g.degrees(edges).orderBy(F.desc("degree"), "label").first()["label"]
-    return r.without_entity(t.nodes(spark, sf), edges, label)[1]
+    hub = g.degrees(edges).orderBy(F.desc("degree"), "label").limit(1)
+    return m.without_entities(t.nodes(spark, sf), edges, hub)[1]
 
 
 @book.query("export_edges_both_ways", t.cte("links") + "SELECT a AS src, b AS tgt, weight FROM links")
@@ -405,7 +412,6 @@ sized AS (SELECT name, d, list_sum(list_transform(d, lambda x: length(x)::DOUBLE
 SELECT name, tokens, CASE WHEN len(d) = 1 THEN 'single' WHEN len(d) < 8 AND tokens < 300 THEN 'joined' ELSE 'model' END AS plan,
   CASE WHEN len(d) = 1 OR (len(d) < 8 AND tokens < 300) THEN array_to_string(d, '<SEP>') END AS summary FROM sized""")
 def summary_branch(spark, sf):
-    """Which entities' descriptions need a model to become one."""
-    rows = t.relations(spark, sf).filter("source_id IS NOT NULL AND content IS NOT NULL").select(F.col("source_id").alias("name"), "content").distinct()
-    groups = rows.groupBy("name").agg(F.array_sort(F.collect_list("content")).alias("d"))
-    return ex.summary_plan(groups, "d", 300).select("name", "tokens", "plan", "summary")
+    """Which entities' descriptions need a model to become one; only few and short ones are gathered."""
+    rows = t.relations(spark, sf).filter("source_id IS NOT NULL AND content IS NOT NULL").select(F.col("source_id").alias("name"), F.col("content").alias("description"))
+    return sm.summary_plan(rows, 300, 8)

@@ -85,12 +85,18 @@ def cut(df: DataFrame) -> DataFrame:
     the latest when the program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestack/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, removed like the tables of cut()."""
+    path = f"{shared_dir(spark)}/lodestack/{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_release_at_exit, spark)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def cut_all(*dfs: DataFrame) -> list[DataFrame]:
