@@ -95,6 +95,20 @@ def top(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """All rows numbered from 1 in an order, without bringing them into one task.
+
+    Rows are sorted in ranges, ranges counted, and each row gets its place within its range
+    and the number of rows before it. The order must be total.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # One row a partition, so this window is small.
+    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__i", place).join(F.broadcast(before), "__p").withColumn(out, (F.col("__i") + F.col("__before")).cast("bigint")).drop("__p", "__i", "__before")
+
+
 def query_matrices(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and unit vectors of at most MOST_QUERIES queries (query_id, query), by the length of the vectors; zero and null ones are left out."""
     got = queries.select(F.col("query_id").cast("bigint"), F.col("query").cast("array<double>")).limit(MOST_QUERIES + 1).collect()

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from lodestack.operators import references
-from lodestack.plans import events, graphs, records, searching, strategies
+from lodestack.plans import base, events, graphs, records, searching, strategies
 
-BOOKS = (searching.book, records.book, graphs.book, strategies.book, events.book)
+BOOKS = (searching.book, records.book, graphs.book, strategies.book, base.book, events.book)
 
 
 def queries() -> dict:
