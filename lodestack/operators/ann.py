@@ -34,7 +34,10 @@ class Lists:
 def fitted(vectors: DataFrame, vector: str, many: int | None = None, sample: int = SAMPLE, seed: int = 0) -> Lists:
     """Lists fitted on at most `sample` vectors; as many as the square root of the table unless given."""
     n = vectors.count()
-    rows = vectors.filter(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
+    usual = vectors.filter(F.size(vector) > 0).agg(F.mode(F.size(vector)).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    if not usual["n"]:
+        raise ValueError("there is no vector to fit on")
+    rows = vectors.filter(F.size(vector) == usual["dim"]).select(F.col(vector).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull()))
     rows = rows.orderBy(F.xxhash64(F.lit(seed), "v")).limit(sample).toPandas()
     if not len(rows):
         raise ValueError("there is no vector to fit on")

@@ -292,14 +292,16 @@ def endpoint_sources(spark, sf):
 
 
 @book.query("cache_lists", t.cte("chunks", extra="""
-refs AS (SELECT workspace, id AS chunk_id, unnest(llm_cache_list) AS cache_id FROM chunks),
+refs AS (SELECT workspace, id AS chunk_id, unnest(llm_cache_list) AS cache_id FROM chunks UNION SELECT c.workspace, c.id, l.id FROM chunks c JOIN ekr_llm_cache l ON l.workspace = c.workspace AND l.chunk_id = c.id),
 calls AS (SELECT workspace, id AS cache_id, min(create_time) AS since FROM ekr_llm_cache WHERE cache_type = 'extract' GROUP BY 1, 2),
 met AS (SELECT DISTINCT r.workspace, r.chunk_id, cache_id, since FROM refs r JOIN calls USING (workspace, cache_id))""") + """
 SELECT workspace, chunk_id, cache_id, row_number() OVER (PARTITION BY workspace, chunk_id ORDER BY since, cache_id) AS rank, min(since) OVER (PARTITION BY workspace, chunk_id) AS first FROM met""")
 def cache_lists(spark, sf):
-    """The cached extractions that chunks list, oldest first, with the time of the chunk's first."""
+    """The cached extractions that chunks list or that name a chunk, oldest first, with the time of the chunk's first."""
     calls = table(spark, sf, "ekr_llm_cache").filter("cache_type = 'extract'").groupBy("workspace", F.col("id").alias("cache_id")).agg(F.min("create_time").alias("at"))
-    refs = t.chunks(spark, sf).select("workspace", F.col("id").alias("chunk_id"), F.explode("llm_cache_list").alias("cache_id")).distinct()
+    chunks = t.chunks(spark, sf).select("workspace", F.col("id").alias("chunk_id"), "llm_cache_list")
+    named = table(spark, sf, "ekr_llm_cache").select("workspace", "chunk_id", F.col("id").alias("cache_id")).join(chunks.select("workspace", "chunk_id"), ["workspace", "chunk_id"], "left_semi")
+    refs = chunks.select("workspace", "chunk_id", F.explode("llm_cache_list").alias("cache_id")).unionByName(named).distinct()
     met = refs.join(calls, ["workspace", "cache_id"])
     first = met.groupBy("workspace", "chunk_id").agg(F.min("at").alias("first"))
     return s.top(met, ["workspace", "chunk_id"], [F.col("at"), F.col("cache_id")], 2**31 - 1).drop("at").join(first, ["workspace", "chunk_id"])

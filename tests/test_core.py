@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.operators import chunking, context, graph, keyvalue, references, resolve, search, services
+from lodestack.operators import chunking, keyvalue, references, resolve, search, services
 from lodestack.plans import registry
 from lodestack.session import env_int, table
 from lodestack.sources import files
@@ -107,20 +107,6 @@ def test_budget_and_pages(spark):
     assert env_int("x", 5) == 5 and env_int("12", 5) == 12 and env_int("0", 5) == 5 and env_int(None, 5) == 5
 
 
-def test_local_pagerank_like_rounds(spark):
-    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 1.0)], "src string, tgt string, weight double")
-    whole = {r["label"]: r["rank"] for r in graph.pagerank(edges, 40).collect()}
-    local = edges.select(F.lit(1).cast("bigint").alias("query_id"), "*", F.lit(False).alias("a_src"), F.lit(False).alias("a_tgt"))
-    for r in graph.local_pagerank(local).collect():
-        assert abs(r["rank"] - whole[r["label"]]) < 1e-4
-
-
-def test_render(spark):
-    df = spark.createDataFrame([(1, 1, 'a "b"', 42, "text")], "query_id int, ref int, h string, page int, content string")
-    got = df.select(context.chunk_block("ref", "content", "page", "h").alias("x")).first()["x"]
-    assert got == "<chunk ref=\"1\" page=\"42\" heading=\"a 'b'\">\ntext\n</chunk>"
-
-
 def test_services(spark):
     df = spark.createDataFrame([("1", "a b"), ("2", "a b"), ("3", "c")], "id string, prompt string")
     vectors = services.embed_column(df, "prompt", services.hash_embed(8), 8).collect()
@@ -149,7 +135,8 @@ def test_catalog_and_stream(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "kb"))
     for _ in range(2):
         ingest.ingest_batch(catalog, docs)
-    assert catalog.read("doc_status").count() == 2 and catalog.read("text_chunks").count() == 2
+    assert catalog.read("text_chunks").count() == 2
+    assert catalog.read_latest("doc_status", ["id"]).count() == 2
     catalog.commit({"text_chunks": None})
     assert catalog.read("text_chunks") is None
     edges = spark.createDataFrame([("a", "b")], "src string, tgt string")
