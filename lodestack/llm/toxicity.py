@@ -11,7 +11,7 @@ Reviewers judge documents, not windows, and some are wrong. The windows that cou
 abusive are at first those with the most telling words, later those the network itself
 scores highest, among all windows of the document. Every epoch reads up to NEGATIVES windows
 of each fine document, drawn anew from all of them. A judgement that the words of all other judged documents contradict is
-doubtful and left out of the training.
+doubtful and left out of the training; such documents and those held out set the threshold.
 
 Defined cases: null, empty and wordless texts have score 0; repeated texts have equal
 scores; labels of documents that don't exist are ignored; of differing labels of one
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.session import Shared, spread, table
+from lodestack.session import Shared, cut, spread, table
 
 WINDOW, STRIDE = 16, 8
 TABLE, DIM, HIDDEN, ATTENTION = 1 << 15, 24, 24, 16
@@ -42,6 +42,7 @@ EMBED_BLOCK = 1 << 18
 MOST_CELLS = 1_000_000
 MAX_LABELLED = 6000
 LEAST_STEPS = 400
+HELD_OUT = 0.15
 NEGATIVES = 64
 
 # Look-alikes of Latin letters, and digits and signs written for letters.
@@ -330,8 +331,11 @@ def sound_judgements(most: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 1, most > cut, most <= max(cut, floor))
 
 
-def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) -> tuple[Network, float]:
-    """A network and its threshold from judged documents."""
+def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) -> tuple[Network, np.ndarray]:
+    """A network from judged documents, and how much each of them counts for its threshold.
+
+    Those it learns from count nothing, those held out count for them, doubtful ones once.
+    """
     rng = np.random.default_rng(seed)
     net, vocabulary = Network(seed), Vocabulary()
     words = [words_of(d) for d in docs]
@@ -346,7 +350,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
     most = np.array([s.max() if len(s) else 0.0 for s in current])
     sound = sound_judgements(most, toxic)
     flat = vocabulary.arrays()
-    held = rng.random(len(docs)) < 0.15
+    held = rng.random(len(docs)) < HELD_OUT
     fit = [i for i in range(len(docs)) if not held[i] and len(mats[i]) and sound[i]]
     trainer = Trainer(net)
     epoch = 0
@@ -358,7 +362,7 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
         pos += [shifted(numbers[i], int(starts[i][t]) + int(by)) for i, t in zip(good, tops) for by in rng.integers(-5, 6, 3)]
         neg = [m for i in fit if toxic[i] == 0 for m in (mats[i] if len(mats[i]) <= NEGATIVES else mats[i][rng.choice(len(mats[i]), NEGATIVES, replace=False)])]
         if not pos or not neg:
-            return net, 2.0
+            return net, np.zeros(len(docs))
         pos, neg = np.array(pos), np.array(neg)
         x = np.concatenate([pos, neg])
         y = np.concatenate([np.ones(len(pos), np.float32), np.zeros(len(neg), np.float32)])
@@ -374,19 +378,21 @@ def train(docs: list[str], toxic: np.ndarray, seed: int = 1, epochs: int = 3) ->
         for i, part in zip(seen, np.split(scores, np.cumsum([len(mats[i]) for i in seen])[:-1])):
             current[i] = part
         epoch += 1
-    best = [(float(current[i].max()) if len(mats[i]) else 0.0, int(toxic[i])) for i in range(len(docs)) if held[i] and sound[i]]
-    return net, threshold(best)
+    # Doubtful judgements are not learnt from. Among them are strong words that insult nobody,
+    # which the threshold must tell from insults; wrong ones count alike at every threshold.
+    return net, np.where(~sound, 1.0, np.where(held, 1 / HELD_OUT, 0.0))
+
+
+FIRST_CUT, CUT_STEP, CUTS = -1.4, 0.2, 38
 
 
-def threshold(scored: list[tuple[float, int]]) -> float:
-    """The middle of the cuts from 0.2 to 0.9 with the best F1 on the documents held out."""
-    if not scored:
+def threshold(bins: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
+    """The middle of the cuts with the best F1; cuts are even in log-odds, from 0.2 to 0.998, bins how many of them a score reaches."""
+    if not weights.sum() or not (weights * toxic).sum():
         return 0.5
-    s, y = np.array([a for a, _ in scored]), np.array([b for _, b in scored])
-    cuts = np.arange(0.2, 0.91, 0.05)
-    f1 = [2 * (y[s >= c].sum()) / max(1, (s >= c).sum() + y.sum()) for c in cuts]
+    f1 = [2 * (weights * toxic)[bins > k].sum() / max(1e-9, weights[bins > k].sum() + (weights * toxic).sum()) for k in range(CUTS)]
     best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    return float(cuts[best[len(best) // 2]])
+    return float(1 / (1 + np.exp(-(FIRST_CUT + CUT_STEP * best[len(best) // 2]))))
 
 
 def score_windows(net: Network, mat: np.ndarray, cells: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -402,12 +408,14 @@ def score_windows(net: Network, mat: np.ndarray, cells: np.ndarray, weights: np.
     return out
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int, seed: int = 0) -> pd.DataFrame:
+def agreed_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the documents whose judgements agree."""
+    sides = labels.dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
+    return sides.filter("toxic = other").select("doc_id", "toxic")
+
+
+def labelled_sample(documents: DataFrame, agreed: DataFrame, most: int, seed: int = 0) -> pd.DataFrame:
     """At most `most` judged documents, half of them abusive where there are as many."""
-    agreed = (
-        labels.dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
-        .filter("toxic = other")
-    )
     few = agreed.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     bad = few.filter("toxic > 0").orderBy("h").limit(most // 2)
     fine = few.filter("toxic <= 0").orderBy("h").limit(most - most // 2)
@@ -423,12 +431,15 @@ def scored(documents: DataFrame, labels: DataFrame, keep: list[str], max_labelle
     for name in ("score", "flagged"):
         if name in keep:
             raise ValueError(f"there is a column named {name} already")
-    sample = labelled_sample(documents, labels, max_labelled).sort_values("doc_id")
+    agreed = cut(agreed_labels(labels))
+    sample = labelled_sample(documents, agreed, max_labelled).sort_values("doc_id")
     toxic = (sample["toxic"].to_numpy() > 0).astype(np.int64)
     if len(sample) == 0 or toxic.min() == toxic.max():
         return documents.select(*keep, F.lit(0.0).alias("score"), F.lit(False).alias("flagged"))
-    net, limit = train(sample["text"].tolist(), toxic)
-    shared = Shared(documents.sparkSession, net)
+    net, counts = train(sample["text"].tolist(), toxic)
+    spark = documents.sparkSession
+    shared = Shared(spark, net)
+    columns = list(dict.fromkeys(["doc_id", *keep]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if _STATE.get("key") != shared.key:
@@ -452,11 +463,19 @@ def scored(documents: DataFrame, labels: DataFrame, keep: list[str], max_labelle
                     vocabulary = _STATE["vocabulary"].arrays()
                     np.maximum.at(best, np.concatenate(owner), score_windows(_STATE["net"], np.concatenate(mats), *vocabulary))
                 lo = hi
-            yield batch[keep].assign(score=best.round(6), flagged=best >= limit)
+            yield batch[columns].assign(score=best.round(6))
 
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, flagged boolean"])
-    return spread(documents.select(*keep, "text")).mapInPandas(run, schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "score double"])
+    scores = cut(spread(documents.select(*columns, "text")).mapInPandas(run, schema))
+    # The threshold follows from all judged documents that were not learnt from, as counts by score.
+    known = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": sample["doc_id"], "counts": counts})))
+    odds = F.log(F.greatest(F.col("score"), F.lit(1e-9)) / F.greatest(1 - F.col("score"), F.lit(1e-9)))
+    reached = F.greatest(F.lit(0), F.least(F.lit(CUTS), F.floor((odds - FIRST_CUT) / CUT_STEP + 1e-6) + 1)).cast("int")
+    judged = scores.select("doc_id", reached.alias("bin")).join(agreed, "doc_id").join(known, "doc_id", "left")
+    bins = judged.groupBy("bin", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.sum(F.coalesce("counts", F.lit(1.0))).alias("n")).toPandas()
+    limit = threshold(bins["bin"].to_numpy(), bins["toxic"].to_numpy(), bins["n"].to_numpy())
+    return scores.select(*keep, "score", (F.col("score") >= limit).alias("flagged"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,11 +61,11 @@ def test_held_out():
     fine = ["the pump was tested near the old harbour", "values for the turbine were recorded again", "the report gives nine hours for the weir"]
     bad = ["you are a worthless idiot and everyone knows", "go to hell you stupid moron", "i will smash your face in"]
     docs = [" ".join(rng.choice(fine, 6)) + (" " + str(rng.choice(bad)) + " " + str(rng.choice(fine)) if i % 3 == 0 else "") for i in range(500)]
-    net, limit = tx.train(docs, np.array([int(i % 3 == 0) for i in range(500)]), epochs=3)
+    net, _ = tx.train(docs, np.array([int(i % 3 == 0) for i in range(500)]), epochs=3)
     v = tx.Vocabulary()
     new = [" ".join([fine[0], fine[1], b.upper()]) for b in bad] + [" ".join(fine), fine[2]]
     scores = [tx.score_windows(net, tx.window_matrix(v.add(tx.words_of(t))), *v.arrays()).max() for t in new]
-    assert min(scores[:3]) >= limit > max(scores[3:])
+    assert min(scores[:3]) > 0.6 > max(scores[3:])
 
 
 def test_frames(spark, sf):
@@ -81,8 +81,17 @@ def test_frames(spark, sf):
 def test_a_late_passage_of_a_long_judged_document_teaches():
     fine = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(40)) for i in range(120)]
     bad = [" ".join(f"w{(i * 5 + j) % 90}" for j in range(1500)) + " you rotten scumbag go away" for i in range(40)]
-    net, limit = tx.train(fine + bad, np.array([0] * 120 + [1] * 40))
+    net, counts = tx.train(fine + bad, np.array([0] * 120 + [1] * 40))
+    assert (counts == 0).any() and (counts > 1).any()
     v = tx.Vocabulary()
     m = tx.window_matrix(v.add(tx.words_of(bad[3])))
     got = tx.score_windows(net, m, *v.arrays())
-    assert len(m) > tx.NEGATIVES and got.argmax() >= len(m) - 2 and got.max() >= limit > np.median(got)
+    assert len(m) > tx.NEGATIVES and got.argmax() >= len(m) - 2 and got.max() > 0.5 > np.median(got)
+
+
+def test_threshold_parts_hard_fine_documents():
+    bins, toxic = np.array([0, 10, 11, 30, 34, 0]), np.array([0, 0, 0, 1, 1, 1])
+    limit = tx.threshold(bins, toxic, np.array([900.0, 20, 10, 50, 100, 40]))
+    at = lambda k: 1 / (1 + np.exp(-(tx.FIRST_CUT + tx.CUT_STEP * k)))
+    assert at(10) < limit < at(30)
+    assert tx.threshold(bins[:3], toxic[:3], np.ones(3)) == 0.5 and tx.threshold(bins[:0], toxic[:0], np.ones(0)) == 0.5
