@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.skew import hot_hashes, lookup_join
 from lodestack.session import cut
 
 
@@ -58,13 +59,15 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """label and depth of all nodes within a number of hops of the start labels.
 
     Each round joins the frontier with the edges and drops what was seen; lineage is cut
-    after every round.
+    after every round. The edges of hubs stay where they are.
     """
-    links = both_ways(edges.select("src", "tgt"))
+    links = cut(both_ways(edges.select("src", "tgt")))
+    hot = hot_hashes(links, ["src"])
     seen = cut(start.select("label").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, hops + 1):
-        reached = frontier.select(F.col("label").alias("src")).join(links, "src").select(F.col("tgt").alias("label")).distinct()
+        at = frontier.select(F.col("label").alias("src"), F.lit(True).alias("__at"))
+        reached = lookup_join(links, at, ["src"], hot=hot).filter("__at").select(F.col("tgt").alias("label")).distinct()
         frontier = cut(reached.join(seen, "label", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
@@ -115,10 +118,11 @@ def pagerank(edges: DataFrame, rounds: int, anchors: DataFrame | None = None, da
     else:
         nodes = nodes.join(anchors.select("label").distinct().withColumn("w", F.lit(anchor_weight)), "label", "left").fillna(1.0, ["w"])
     total = F.broadcast(nodes.agg(F.sum("w").alias("all")))
+    hot = hot_hashes(links, ["src"])
     jump = cut(nodes.crossJoin(total).select("label", (F.col("w") / F.col("all")).alias("jump")))
     ranks = jump.select("label", F.col("jump").alias("rank"))
     for i in range(rounds):
-        sent = links.join(ranks.withColumnRenamed("label", "src"), "src").groupBy(F.col("tgt").alias("label")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        sent = lookup_join(links, ranks.withColumnRenamed("label", "src"), ["src"], hot=hot).groupBy(F.col("tgt").alias("label")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         ranks = jump.join(sent, "label", "left").select("label", (F.col("jump") * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("rank"))
         if i % 3 == 2:
             ranks = cut(ranks)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import estimated_tokens, words
-from lodestack.session import Shared, cut, reachable
+from lodestack.session import Shared, cut, cut_all, reachable
 
 K1, B, RRF = 1.5, 0.75, 60
 MOST_QUERIES = 10_000
@@ -21,7 +21,7 @@ BLOCK_CELLS = 1 << 22
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf and length of the document for every term of every document: the table of an index."""
-    toks = docs.select(key, words(text).alias("t")).filter(F.size("t") > 0)
+    toks = docs.select(key, F.explode(F.array(words(text))).alias("t")).filter(F.size("t") > 0)
     return (
         toks.select(key, F.size("t").cast("double").alias("dl"), F.explode("t").alias("term"))
         .groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.max("dl").alias("dl"))
@@ -66,13 +66,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int, k1: f
     if asked.count() > MOST_ASKED:
         raise ValueError(f"more than {MOST_ASKED} asked terms; search them in batches")
     terms = asked.select("term").distinct()
-    rows = docs.select(key, words(text).alias("t")).filter(F.size("t") > 0)
+    # One element exploded keeps the words from being split anew for each use of them.
+    rows = docs.select(key, F.explode(F.array(words(text))).alias("t")).filter(F.size("t") > 0)
     met = (
         rows.select(key, F.size("t").cast("double").alias("dl"), F.explode("t").alias("term")).join(F.broadcast(terms), "term")
         .groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.max("dl").alias("dl"))
     )
-    met = cut(met)
-    whole = cut(corpus(docs, text))
+    met, whole = cut_all(met, corpus(docs, text))
     stats = cut(met.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(whole).withColumn("raw", _idf()))
     if stats.filter("raw < 0").isEmpty():
         floor = F.lit(0.0)

@@ -1,4 +1,4 @@
-"""Help against hot keys, by which every join of this library is planned."""
+"""Help against hot keys, for joins of many rows with a lookup that is unique by key."""
 
 from __future__ import annotations
 
@@ -28,13 +28,14 @@ def hot_hashes(df: DataFrame, keys: Sequence[str], parts: int = 64) -> list[int]
     return [x["item"] for x in row["top"] or [] if x["count"] > max(1000, row["n"] / parts)]
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], parts: int = 64) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], parts: int = 64, hot: list[int] | None = None) -> DataFrame:
     """Left join of rows to a lookup that is unique by key, safe against hot keys.
 
     Rows of a hot key stay where they are: their (fewer than `parts`) lookup rows are
-    broadcast. All others go through a shuffle join.
+    broadcast. All others go through a shuffle join. hot may be given where the same rows
+    are joined several times.
     """
-    hot = hot_hashes(rows, keys, parts)
+    hot = hot_hashes(rows, keys, parts) if hot is None else hot
     if not hot:
         return rows.join(lookup, list(keys), "left")
     is_hot = F.coalesce(key_hash(keys).isin(hot), F.lit(False))
