@@ -136,6 +136,24 @@ def embed_column(df: DataFrame, text: str, embed: Callable[[list[str]], np.ndarr
     return df.mapInPandas(run, f"{kinds}, `{out}` array<float>")
 
 
+def vector_upsert(old: DataFrame, rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], dim: int, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """A table of vectors (keys, text, vector, ...) with rows embedded and put in place of those of equal keys."""
+    new = embed_column(rows.dropDuplicates(list(keys)), text, embed, dim)
+    return old.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(new.select(*old.columns))
+
+
+def counted_tokens(df: DataFrame, text: str, count: Callable[[list[str]], list[int]], out: str = "n_tokens") -> DataFrame:
+    """df with the number of tokens of a text column by a tokenizer; null texts have 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(**{out: count(rows[text].fillna("").tolist())})
+
+    reachable(df.sparkSession)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInPandas(run, f"{kinds}, `{out}` bigint")
+
+
 def hash_embed(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """The stand-in embedder: words hashed to signed places, unit norm."""
 

@@ -6,21 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.session import cut
+from lodestack.sources import stores
+
 TEXT_SUFFIXES, PDF_SUFFIXES = ("txt", "md", "markdown"), ("pdf",)
 PAGE = "array<struct<page_number:int,content:string,images:array<string>>>"
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """path, content and pages of text files; each is one page, number 1. Other suffixes fail by name."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_text(spark: SparkSession, path: str, suffixes_only: bool = False) -> DataFrame:
+    """path, content and pages of text files; each is one page, number 1. Other suffixes fail by name, or are left out."""
+    rows = spark.read.format("binaryFile").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = suffix.isin(*TEXT_SUFFIXES)
+    rows = (rows.filter(known) if suffixes_only else rows).select("path", "content")
     message = F.concat(F.lit("unsupported file type ."), suffix, F.lit("; supported: .txt .md .markdown, .pdf by its parser output"))
     text = F.when(known, F.expr("make_valid_utf8(CAST(content AS STRING))")).otherwise(F.raise_error(message).cast("string"))
     page = F.array(F.struct(F.lit(1).alias("page_number"), F.col("text").alias("content"), F.array().cast("array<string>").alias("images")))
     return rows.select("path", text.alias("text")).select("path", F.col("text").alias("content"), page.cast(PAGE).alias("pages"))
 
 
+def read_documents(spark: SparkSession, path: str, parser: str | None = None, timeout: float = 1800) -> DataFrame:
+    """path, content, pages and error of documents: text files as they are, PDF files by the parser command.
+
+    Files of other kinds have an error that names the kinds there are, as have PDF files
+    without a parser and those it fails for; other files go on.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    empty = F.lit(None).cast("string")
+    texts = read_text(spark, path, suffixes_only=True).withColumn("error", empty)
+    pdfs = files.filter(suffix.isin(*PDF_SUFFIXES))
+    known = [*TEXT_SUFFIXES, *PDF_SUFFIXES]
+    message = F.concat(F.lit("unsupported file type ."), suffix, F.lit("; supported: " + " ".join(f".{s}" for s in known)))
+    other = files.filter(~suffix.isin(*known)).select("path", empty.alias("content"), F.lit(None).cast(PAGE).alias("pages"), message.alias("error"))
+    if parser is None:
+        parsed = pdfs.select("path", empty.alias("content"), F.lit(None).cast(PAGE).alias("pages"), F.lit("a .pdf needs a parser").alias("error"))
+    else:
+        got = cut(stores.parse_pdfs(pdfs, parser, timeout))
+        pages = stores.pages_of_lists(got).select("path", F.col("pages").cast(PAGE).alias("pages"))
+        content = F.array_join(F.transform("pages", lambda p: p.content), "\n")
+        parsed = got.join(pages, "path", "left").select("path", content.alias("content"), "pages", "error")
+    return texts.unionByName(parsed).unionByName(other)
+
+
 CONTENT_ITEM = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("table_body", T.StringType()),
     T.StructField("img_path", T.StringType()), T.StructField("page_idx", T.IntegerType()),

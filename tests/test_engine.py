@@ -31,6 +31,7 @@ def test_prose_has_no_delimiters(spark):
 
 def test_text_functions(spark):
     assert one(spark, T.sanitize("a"), a=" a&#65;&#x1F600;b &lt;x&gt; &amp;amp; \x01z\n") == "aA😀b <x> &amp; z"
+    assert one(spark, T.sanitize("a"), a="caf&eacute; &notaname; &hearts; &#233;&#x1F600; R&D;") == "café &notaname; ♥ é😀 R&D;"
     assert one(spark, T.decoded_escapes("a"), a='x\\u00e9 "q" \\n \\ud83d\\ude00 \\d\n') == 'xé "q" \\n 😀 \\d\n'
     assert one(spark, T.cleaned_pdf("a"), a="Article $^ { 16 ; }$ ▌b  c <sup>2</sup>") == "Article 16; b c <sup>2</sup>"
     names = {'"AB" c': '"AB" c', '"ab"': "ab", "<p>《x y》</p>": "x y", "中 文 abc 中": "中文abc中", "12": "", "123": "123", "1.2": "", "Ａ（b）—c": "A(b)-c", "<br/>x": "x"}
@@ -232,6 +233,15 @@ def test_models(spark, tmp_path):
     assert {r["content"] for r in got.collect()} == {"text\na pump", "more"}
 
 
+def test_vector_tables(spark):
+    old = spark.createDataFrame([("a", "old", [0.0, 0.0])], "id string, content string, vector array<float>")
+    rows = spark.createDataFrame([("a", "new"), ("b", "more")], "id string, content string")
+    got = {r["id"]: (r["content"], len(r["vector"])) for r in services.vector_upsert(old, rows, "content", services.hash_embed(8), 8).collect()}
+    assert got == {"a": ("new", 8), "b": ("more", 8)}
+    counts = services.counted_tokens(rows, "content", lambda texts: [len(t) for t in texts])
+    assert {r["id"]: r["n_tokens"] for r in counts.collect()} == {"a": 3, "b": 4}
+
+
 def test_rerank_seam(spark):
     df = spark.createDataFrame([(1, 1, "q", "low"), (1, 2, "q", "high"), (1, 3, "q", "mid"), (2, 1, "broken", "x"), (2, 2, "broken", "y")], "query_id int, rank int, q string, c string")
 
@@ -484,6 +494,14 @@ def test_pdfs_by_an_outer_program(spark, tmp_path):
     (deep / "doc_content_list.json").write_text("[]")
     assert files.cached_parse(spark, str(tmp_path / "root"), "doc").endswith("hybrid_auto/doc_content_list.json")
     assert files.cached_parse(spark, str(tmp_path / "none"), "doc") is None
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for name in ("a.txt", "b.pdf", "bad.pdf", "c.docx"):
+        (inbox / name).write_text("text")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.read_documents(spark, str(inbox), f"{sys.executable} {prog} {{path}} {{out}}").collect()}
+    assert got["a.txt"]["content"] == "text" and got["b.pdf"]["content"] == "one\n<t>\n" and len(got["b.pdf"]["pages"]) == 2
+    assert "broken" in got["bad.pdf"]["error"] and ".docx" in got["c.docx"]["error"] and ".pdf" in got["c.docx"]["error"]
+    assert "parser" in files.read_documents(spark, str(inbox / "b.pdf")).first()["error"]
 
 
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
