@@ -35,6 +35,9 @@ _START_NUMBER = re.compile(rf"^({NUMBER})\b")
 _END_NUMBER = re.compile(rf"({NUMBER})$")
 _EDGE_NUMBER = re.compile(rf"^{NUMBER}\b(?=\s{{2,}}|\s*[|·–-])|(?:\s{{2,}}|[|·–-]\s*){NUMBER}$")
 _DIGITS = str.maketrans("OoIlSBZ|", "00115821")
+_DIGIT, _DIGIT_IN_WORD = re.compile(r"\d"), re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
+_NUMBERS, _NO_LETTERS = re.compile(r"\d+(?:\s*[/|]\s*\d+)?"), re.compile(r"[\W\d_]+")
+_LOOK_ALIKE = str.maketrans("ehviu", "cbyln")
 FEATURES = 27
 
 
@@ -71,10 +74,12 @@ def page_of(line: str) -> tuple[int, int] | None:
 
 def skeleton(line: str) -> str:
     """What stays of a line under misreading: letters only, look-alikes made equal."""
-    s = re.sub(r"\d+(?:\s*[/|]\s*\d+)?", " ", line.lower()) if not re.search(r"[^\W\d_]\d|\d[^\W\d_]", line) else line.lower()
-    s = "".join(c for c in s.translate(SYMBOLS) if c.isalpha())
+    s = line.lower()
+    if _DIGIT.search(s) and not _DIGIT_IN_WORD.search(line):
+        s = _NUMBERS.sub(" ", s)
+    s = _NO_LETTERS.sub("", s.translate(SYMBOLS))
     s = s.replace("rn", "m").replace("ri", "n").replace("ii", "u").replace("cl", "d")
-    return s.translate(str.maketrans("ehviu", "cbyln"))
+    return s.translate(_LOOK_ALIKE)
 
 
 def figures(line: str) -> bool:
@@ -174,15 +179,15 @@ def line_features(lines: list[str]) -> tuple[list[int], np.ndarray]:
     for i, s in enumerate(text):
         many, cuts, nears, gap, spread, chains = group_of(i)
         p = pages[i]
-        letters = [c for c in s if c.isalpha()]
-        numbered = bool(_EDGE_NUMBER.search(s)) if any(c.isdigit() for c in s) else False
+        letters = _NO_LETTERS.sub("", s)
+        numbered = bool(_EDGE_NUMBER.search(s)) if _DIGIT.search(s) else False
         words = s.split()
         x[i] = (
             many, cuts, cut[i], near[i], nears,
             len(s) / usual, s[-1] == ".", s[-1] == ":", s[0] in "([" and s[-1] in ")]", numbered,
             chains if numbered and chains is not None else 0, p[1] if p else 0, chain[i], bool(p) and p[1] == 4,
             (i > 0 and rows[i - 1]) + (i + 1 < n and rows[i + 1]), len(letters) / len(s),
-            sum(c.isupper() for c in letters) / max(1, len(letters)), sum(w[0].isupper() for w in words) / len(words),
+            sum(map(str.isupper, letters)) / max(1, len(letters)), sum(w[0].isupper() for w in words) / len(words),
             at[i] > 0 and not bare[at[i] - 1], at[i] + 1 < len(bare) and not bare[at[i] + 1], min(i, n - 1 - i, 3),
             gap, spread, marks, rows[i], style_count[p[1]] if p else 0, len(words),
         )
@@ -355,7 +360,7 @@ def shape(lines: list[str]) -> np.ndarray:
     x[:] = (
         np.log1p(len(n)), q50, q75, q90, n.max(), n[n > 110].sum() / n.sum(), n[n <= 110].sum(), open_.mean(), goes_on.sum() / max(1, len(n) - 1), goes_on.sum(),
         sum(s[-1] in HYPHENS for s in text) / len(n), n[body].std() / n[body].mean(), (n[n > 0.8 * q90] <= 1.15 * q90).mean(),
-        any("\x0c" in line for line in lines), sum(c in "†¢ſ" for s in text for c in s) / n.sum(),
+        any("\x0c" in line for line in lines), sum(s.count(c) for s in text for c in "†¢ſ") / n.sum(),
     )
     return x
 

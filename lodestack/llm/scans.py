@@ -17,7 +17,7 @@
 
 The classifiers are fitted on bounded samples: `sample_docs` documents for pages,
 and for pages the first 3000 of their paragraphs, `sample_words` words for words and
-hyphens. Counts, candidates and decisions cover all.
+hyphens, with at most LEARN_PAIRS of their candidates. Counts, candidates and decisions cover all.
 
 Defined cases: null and blank contents give no lines; clean texts have no cases; of a
 repeated id the row with the latest update counts, then the longest text; words without a
@@ -42,12 +42,13 @@ from lodestack.session import Shared, cut, spread, table
 
 EDITS, GRAM = 2, 2
 PREFIX = EDITS * GRAM + 1
-SAMPLE_DOCS, SAMPLE_WORDS = 600, 4000
+SAMPLE_DOCS, SAMPLE_WORDS, LEARN_PAIRS = 600, 4000, 200_000
 ODD_SIGNS = "†¢ſ@!|"
 _OUTER = ".,;:()[]{}\"'«»“”„*#?_~<>"
 _CODE = re.compile(r"^[A-Za-z]{1,4}[-‐¬­]?[\dOolIS]{3,}$")
 _NUMERIC = re.compile(r"^[\d.,/%+\-–$€£°]+$")
 _WORDISH = re.compile(r"[^\W\d_]")
+_ELIDED, _APOSTROPHE = re.compile(r"^[^\W\d_]{1,2}['’]"), re.compile(r"['’]")
 
 
 def tokens(line: str) -> list[str]:
@@ -55,9 +56,14 @@ def tokens(line: str) -> list[str]:
     out = []
     for raw in line.split():
         w = raw.strip(_OUTER)
+        # Nearly all words are letters and can only be taken for a code by their last one.
+        if w.isalpha() and w[-1] not in "OolIS":
+            if "|" not in raw[1:-1]:
+                out.append(w.lower())
+            continue
         if not w or _NUMERIC.match(w) or not _WORDISH.search(w) or _CODE.match(w) or "|" in raw[1:-1]:
             continue
-        w = re.split(r"['’]", w)[-1] if re.match(r"^[^\W\d_]{1,2}['’]", w) else w
+        w = _APOSTROPHE.split(w)[-1] if _ELIDED.match(w) else w
         out.append(w.lower())
     return [w for w in out if w]
 
@@ -310,7 +316,8 @@ def corrections(words: DataFrame, sample_words: int) -> DataFrame:
 
     ranker = None
     if len(made) and made["source"].notna().any():
-        learn = featured(spark.createDataFrame(made, schema)).toPandas()
+        learn = featured(spark.createDataFrame(made, schema)).orderBy(F.coalesce(F.col("source") == F.col("cand"), F.lit(False)).desc(), F.xxhash64("word", "cand"))
+        learn = learn.limit(LEARN_PAIRS).toPandas()
         y = (learn["source"] == learn["cand"]).to_numpy()
         if y.any() and not y.all():
             ranker = Boosted(60, 4).fit(np.stack(learn["x"].to_numpy()), y)

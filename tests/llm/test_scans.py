@@ -132,6 +132,54 @@ def test_whole_table(spark):
     assert found.lines.count() == found.lines.distinct().count()
 
 
+def scanned(rng, paragraphs, title):
+    """A made scan: wrapped, divided words, running lines, page numbers and misread letters."""
+    lines = []
+    for p in paragraphs:
+        line = ""
+        for w in p.split():
+            room = 58 - len(line)
+            if len(w) > room:
+                if len(w) > 7 and 3 < room < len(w) - 2:
+                    lines.append(line + w[: room - 1] + "-")
+                    line = w[room - 1 :] + " "
+                    continue
+                lines.append(line.rstrip())
+                line = ""
+            line += w + " "
+        lines += [line.rstrip(), ""]
+    out = []
+    for page, lo in enumerate(range(0, len(lines), 22)):
+        out += [title, *[G.misread(x, rng, 0.002) for x in lines[lo : lo + 22]], f"- {page + 3} -"]
+    return "\n".join(out)
+
+
+def test_repaired_text_against_its_source(spark):
+    rng = np.random.default_rng(8)
+    docs = table(spark, "/root/testdata/sf0.01", "ekr_doc_full").select("content").dropna().collect()
+    pool = [p.strip() for r in docs for p in r["content"].split("\n") if len(p) > 200 and p.isascii()]
+    rows, truth = [], {}
+    for i in range(40):
+        own = [pool[int(j)] for j in rng.integers(0, len(pool), 6)]
+        truth[f"s{i}"] = own
+        rows.append((f"s{i}", scanned(rng, own, f"Annual Survey of the {['Weir', 'Pump', 'Kiln', 'Loom'][i % 4]}"), None))
+    rows += [(f"c{i}", "\n".join(pool[i * 5 : i * 5 + 5]), None) for i in range(len(pool) // 5)]
+    df = spark.createDataFrame(rows, "id string, content string, update_time timestamp")
+    got = {r["id"]: r["text"] for r in S.repaired(S.analyse(df, sample_docs=200, sample_words=1500)).collect()}
+    put = sum(r[1].count("\n- ") + r[1].count("Annual") for r in rows if r[0][0] == "s")
+    left = sum(got[i].count("- 3 -") + got[i].count("- 4 -") + got[i].count("Annual") for i in truth)
+    assert left < 0.1 * put
+    whole, words, right = 0, 0, 0
+    for i, paragraphs in truth.items():
+        flat = " ".join(got[i].split())
+        for p in paragraphs:
+            whole += p in flat
+            words += len(p.split())
+            right += sum(w in flat for w in p.split())
+    assert whole / 240 > 0.7 and right / words > 0.98, (whole, right, words, left, put)
+    assert all(got[r[0]] == r[1] for r in rows if r[0][0] == "c")
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame([("a", None, None), ("b", " \n", None)], "id string, content string, update_time timestamp")
     assert S.analyse(docs).lines.count() == 0
