@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -65,6 +66,12 @@ class PairTable:
         self.reach = 0
         self._fill(keys, np.array(joined, np.int32))
 
+    @cached_property
+    def pair_ranks(self) -> dict[int, int]:
+        """The pairs as a dictionary, made where the first long piece is met."""
+        used = self.values != NONE
+        return dict(zip(self.keys[used].tolist(), self.values[used].tolist()))
+
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -143,6 +150,7 @@ class PairTable:
     def encode_long(self, piece: bytes) -> list[int]:
         """The same rule for one long piece: a heap of (rank, place) over a linked list."""
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pair_ranks
         first = self.ranks(ids[:-1], ids[1:])
         ids, n = ids.tolist(), len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -152,8 +160,8 @@ class PairTable:
         def push(i: int) -> None:
             j = after[i]
             if j < n:
-                r = int(self.ranks(np.array([ids[i]]), np.array([ids[j]]))[0])
-                if r != NONE:
+                r = ranks.get((ids[i] << 32) | ids[j])
+                if r is not None:
                     heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         while heap:

@@ -528,5 +528,12 @@ def p1_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ambiguous_names(describe_all(all_names(spark, sf_dir)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ambiguous": p1_ambiguous}
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_entities: every name with its entity and the number of the entity's spellings: the links without a row for each pair."""
+    found = cut(entities(describe_all(all_names(spark, sf_dir))))
+    sizes = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_spellings"))
+    return found.join(sizes, "entity").select("name", "entity", "n_spellings")
+
+
+QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities, "p1_ambiguous": p1_ambiguous}
 ORACLES: dict[str, str] = {}

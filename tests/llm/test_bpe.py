@@ -1,6 +1,7 @@
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestack.llm import bpe
 from lodestack.session import table
@@ -42,3 +43,9 @@ def test_frames(spark):
     assert sorted((r["n"], r["ids"]) for r in bpe.encode_column(df, "text").collect()) == [(1, [64, 275]), (1, [64, 275]), (2, [])]
     assert bpe.encode_column(df.limit(0), "text").count() == 0
     assert bpe.encode_column(df, "text", "n_tokens", count_only=True).agg({"n_tokens": "sum"}).first()[0] == 4
+
+
+def test_totals_like_ids(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    want = docs.join(bpe.p6_ids(spark, sf), "doc_id").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"))
+    assert sorted(map(repr, bpe.p6_token_totals(spark, sf).collect())) == sorted(map(repr, want.collect()))

@@ -95,3 +95,10 @@ def test_threshold_parts_hard_fine_documents():
     at = lambda k: 1 / (1 + np.exp(-(tx.FIRST_CUT + tx.CUT_STEP * k)))
     assert at(10) < limit < at(30)
     assert tx.threshold(bins[:3], toxic[:3], np.ones(3)) == 0.5 and tx.threshold(bins[:0], toxic[:0], np.ones(0)) == 0.5
+
+
+def test_rates_like_scores(spark, sf):
+    got = {r["source"]: (r["n_docs"], r["n_flagged"]) for r in tx.p8_rates(spark, sf).collect()}
+    rows = tx.p8_scores(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").collect()
+    assert got == {s: (sum(r["source"] == s for r in rows), sum(r["source"] == s and r["flagged"] for r in rows)) for s in {r["source"] for r in rows}}
+    assert tx.p8_found(spark, sf).count() == sum(r["flagged"] for r in rows)
