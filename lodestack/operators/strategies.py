@@ -292,13 +292,13 @@ def picked(related: DataFrame, store: Store, queries: DataFrame, o: Options) ->
 
 def graph_chunks(found: Found, store: Store, queries: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     """Chunks of the entities, and of the relations without those of the entities."""
-    of_entities = cut(picked(cut(related_chunks(found.entities, ["label"], store.entity_chunks)), store, queries, o))
+    of_entities = picked(cut(related_chunks(found.entities, ["label"], store.entity_chunks)), store, queries, o)
     sources = found.relations.select("query_id", "rank", "src", "tgt").join(store.relation_chunks, ["src", "tgt"]).join(
         of_entities.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"
     )
     met = sources.select("query_id", "rank", "src", "tgt", "chunk_id", "ord")
     related = related_chunks(met.select("query_id", "rank").distinct(), ["query_id", "rank"], met.select("query_id", "rank", "chunk_id", "ord"))
-    return of_entities, cut(picked(cut(related), store, queries, o))
+    return of_entities, picked(cut(related), store, queries, o)
 
 
 def merged_chunks(store: Store, sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -353,12 +353,13 @@ def _graph(plan: Callable, vector_hits: Callable | None) -> Callable:
     """A strategy over the graph: its entities and relations within budgets, and their chunks merged with those found by vector."""
 
     def strategy(store: Store, queries: DataFrame, o: Options, questions: DataFrame | None = None, terms: DataFrame | None = None) -> Found:
-        found = within_budgets(plan(store, queries, o), o)
-        of_entities, of_relations = graph_chunks(found, store, queries, o)
+        with ThreadPoolExecutor(1) as pool:
+            hits = None if vector_hits is None else pool.submit(lambda: cut(vector_hits(store, queries, o, terms)))
+            found = within_budgets(plan(store, queries, o), o)
+            of_entities, of_relations = graph_chunks(found, store, queries, o)
+            first = None if hits is None else hits.result()
         sources = [("E", of_entities), ("R", of_relations)]
-        first = None
-        if vector_hits is not None:
-            first = cut(vector_hits(store, queries, o, terms))
+        if first is not None:
             sources.insert(0, _one("C", first))
         chunks = merged_chunks(store, sources)
         if o.rerank:
