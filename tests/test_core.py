@@ -51,7 +51,7 @@ def test_merge_keys(spark):
 
 
 def test_names_and_delimiters(spark):
-    assert one(spark, T.extracted_name("a"), a=' <p>"ＡＢ  c"</p> ') == "AB c"
+    assert one(spark, T.extracted_name("a"), a=' <p>"ＡＢ  c"</p> ') == "AB  c"
     assert one(spark, T.extracted_name("a"), a="12") == ""
     for bad in ("<|##|>", "<||>", "<#>", "<|#>", "<||#||>", "<| # |>", "<|#|>"):
         assert one(spark, T.repaired_delimiters("a"), a=f"entity{bad}X{bad}y") == "entity<|#|>X<|#|>y", bad

@@ -34,7 +34,7 @@ def test_text_functions(spark):
     assert one(spark, T.sanitize("a"), a="caf&eacute; &notaname; &hearts; &#233;&#x1F600; R&D;") == "café &notaname; ♥ é😀 R&D;"
     assert one(spark, T.decoded_escapes("a"), a='x\\u00e9 "q" \\n \\ud83d\\ude00 \\d\n') == 'xé "q" \\n 😀 \\d\n'
     assert one(spark, T.cleaned_pdf("a"), a="Article $^ { 16 ; }$ ▌b  c <sup>2</sup>") == "Article 16; b c <sup>2</sup>"
-    names = {'"AB" c': '"AB" c', '"ab"': "ab", "<p>《x y》</p>": "x y", "中 文 abc 中": "中文abc中", "12": "", "123": "123", "1.2": "", "Ａ（b）—c": "A(b)-c", "<br/>x": "x"}
+    names = {' "a  b" ': "a  b", '"AB" c': '"AB" c', '"ab"': "ab", "<p>《x y》</p>": "x y", "中 文 abc 中": "中文abc中", "12": "", "123": "123", "1.2": "", "Ａ（b）—c": "A(b)-c", "<br/>x": "x"}
     for raw, want in names.items():
         assert one(spark, T.extracted_name("a"), a=raw) == want, raw
     assert one(spark, T.extracted_name("a", True), a="“中\"文”\u00a0x") == "中文 x"
