@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
@@ -301,10 +302,11 @@ def cache_lists(spark, sf):
     calls = table(spark, sf, "ekr_llm_cache").filter("cache_type = 'extract'").groupBy("workspace", F.col("id").alias("cache_id")).agg(F.min("create_time").alias("at"))
     chunks = t.chunks(spark, sf).select("workspace", F.col("id").alias("chunk_id"), "llm_cache_list")
     named = table(spark, sf, "ekr_llm_cache").select("workspace", "chunk_id", F.col("id").alias("cache_id")).join(chunks.select("workspace", "chunk_id"), ["workspace", "chunk_id"], "left_semi")
-    refs = chunks.select("workspace", "chunk_id", F.explode("llm_cache_list").alias("cache_id")).unionByName(named).distinct()
-    met = refs.join(calls, ["workspace", "cache_id"])
-    first = met.groupBy("workspace", "chunk_id").agg(F.min("at").alias("first"))
-    return s.top(met, ["workspace", "chunk_id"], [F.col("at"), F.col("cache_id")], 2**31 - 1).drop("at").join(first, ["workspace", "chunk_id"])
+    # A union here would be wrong: Spark 4.1 counts on its partitioning, which adaptive execution changes.
+    listed = chunks.select("workspace", "chunk_id", F.explode("llm_cache_list").alias("cache_id"))
+    refs = listed.distinct().join(named.distinct(), ["workspace", "chunk_id", "cache_id"], "full_outer")
+    met = refs.join(calls, ["workspace", "cache_id"]).withColumn("first", F.min("at").over(W.partitionBy("workspace", "chunk_id")))
+    return s.top(met, ["workspace", "chunk_id"], [F.col("at").asc_nulls_last(), F.col("cache_id")], 2**31 - 1).select("workspace", "chunk_id", "cache_id", "rank", "first")
 
 
 RECORD_ROWS = RECORDS.replace("SELECT DISTINCT workspace, id, return_value FROM", "SELECT workspace || '/' || chunk_id AS workspace, id, return_value, min(epoch_us(create_time)) AS ord FROM").replace(

@@ -152,3 +152,34 @@ def test_entry_without_llm():
 
 def test_smoke(spark):
     assert table(spark, SF, "documents").count() > 0
+
+
+@pytest.mark.parametrize("threshold", ["6k", "8k", "10k"])
+def test_cache_lists_where_adaptive_execution_broadcasts(spark, duck, threshold):
+    """At 8k the calls are broadcast only when their size is known, as on larger tables by the default."""
+    key, df = "spark.sql.autoBroadcastJoinThreshold", registry.queries()["cache_lists"]
+    old = spark.conf.get(key)
+    spark.conf.set(key, threshold)
+    try:
+        got = sorted(map(repr, map(tuple, df(spark, SF).collect())))
+    finally:
+        spark.conf.set(key, old)
+    assert got == sorted(map(repr, duck.execute(registry.oracles()["cache_lists"]).fetchall()))
+
+
+def test_cache_lists_of_nulls(spark, tmp_path):
+    at = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
+    cache = [("w", "a", "c", None), ("w", "b", "c", "2024-01-01"), ("w", "b", None, "2024-01-01"), ("w", "d", None, None), ("v", "a", "gone", "2024-01-01")]
+    spark.createDataFrame(cache, "workspace string, id string, chunk_id string, t string").selectExpr(
+        "workspace", "id", "chunk_id", "'extract' cache_type", "CAST(t AS TIMESTAMP_NTZ) create_time"
+    ).write.parquet(f"{tmp_path}/ekr_llm_cache.parquet")
+    chunks = [("w", "c", ["a", "d", "x", None, "a"]), ("w", None, ["b"]), ("v", "e", None), ("v", "f", ["a"]), (None, "c", ["a"])]
+    spark.createDataFrame(chunks, "workspace string, id string, llm_cache_list array<string>").selectExpr(
+        "*", "'d' full_doc_id", "1 chunk_order_index", f"{at} update_time"
+    ).write.parquet(f"{tmp_path}/ekr_doc_chunks.parquet")
+    con = duckdb.connect()
+    for name in ("ekr_llm_cache", "ekr_doc_chunks"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(registry.oracles()["cache_lists"]).fetchall()
+    got = map(tuple, registry.queries()["cache_lists"](spark, str(tmp_path)).collect())
+    assert len(want) == 5 and sorted(map(repr, got)) == sorted(map(repr, want))
