@@ -8,8 +8,8 @@ the sum of these. Complete epochs come first: every document of a
 source is taken floor(budget / size of the source) times. The rest is sampled without
 replacement by Efraimidis and Spirakis: each document has the key -ln(u) / weight with a
 uniform u from its id, and the weight is the document's quality: a given column, or how
-well a model of byte trigrams, fitted on a bounded sample of the documents, foresees its
-text, against the sample's middle and spread. The documents of smallest key are taken while their prefix sum
+well a model of byte trigrams, counted in all documents, foresees its text, against the
+median of all documents and their median distance from it. The documents of smallest key are taken while their prefix sum
 of tokens stays within the rest (the document at the edge if it brings the sum nearer).
 
 A source may hold any part of the rows, so nothing is sorted per source: keys fall into
@@ -25,35 +25,45 @@ doc_id; repeated rows are documents of their own.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.llm.bpe import encode_column
-from lodestack.session import Shared, cut, table
+from lodestack.session import Shared, cut, spread, table
 
 LEAST_RANGES, RANGE_ROWS = 4096, 1_000_000
 MAX_SOURCES = 10_000
-SAMPLE_DOCS = 4000
 LEAST_WEIGHT = 0.05
-TRIGRAMS = 1 << 18
+PAIRS, TRIGRAMS = 1 << 16, 1 << 18
+SCORE_DIGITS = 4
+# Cells that are counted at once, which bounds memory.
+MOST_WAITING = 1 << 21
 
 
 class Quality:
-    """How well the bytes of a text follow from the two before each, as a weight from LEAST_WEIGHT to 1."""
+    """How well the bytes of a text follow from the two before each, as a score and as a weight from LEAST_WEIGHT to 1."""
 
     def __init__(self, texts: list[str]):
-        pairs, triples = np.zeros(1 << 16), np.zeros(TRIGRAMS)
-        for text in texts:
-            two, three = self._cells(text)
-            np.add.at(pairs, two, 1)
-            np.add.at(triples, three, 1)
+        self._count(tallied(texts))
+        scores = Counter(self.scores(texts).tolist())
+        self.middle, self.spread = middle_and_spread(list(scores), list(scores.values()))
+
+    @classmethod
+    def of(cls, cells: np.ndarray) -> Quality:
+        """The model of counted cells; it has scores, but no weights."""
+        new = cls.__new__(cls)
+        new._count(cells)
+        return new
+
+    def _count(self, cells: np.ndarray) -> None:
         # Cells are shared by chance, so a pair is at least as frequent as its triples.
-        self.pairs, self.triples = pairs.astype(np.float32), triples.astype(np.float32)
-        scores = np.array([x for x in map(self.score, texts) if x is not None] or [0.0])
-        self.middle = float(np.median(scores))
-        self.spread = max(0.1, 1.4826 * float(np.median(np.abs(scores - self.middle))))
+        self.pairs, self.triples = cells[:PAIRS].astype(np.float32), cells[PAIRS:].astype(np.float32)
 
     @staticmethod
     def _cells(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +79,61 @@ class Quality:
         two, three = self._cells(text)
         return float(np.log((self.triples[three] + 0.1) / (np.maximum(self.pairs[two], self.triples[three]) + 25.6)).mean())
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of the texts to SCORE_DIGITS, NaN without one."""
+        found = [self.score(text) if text else None for text in texts]
+        return np.round(np.array([np.nan if x is None else x for x in found], np.float64), SCORE_DIGITS)
+
     def weights(self, texts: list[str | None]) -> np.ndarray:
-        out = np.full(len(texts), LEAST_WEIGHT)
-        for i, text in enumerate(texts):
-            x = self.score(text) if text else None
-            if x is not None:
-                z = min(30.0, max(-30.0, (x - self.middle) / self.spread))
-                out[i] = max(LEAST_WEIGHT, 1 / (1 + np.exp(-1.5 - z)))
-        return out
+        z = np.clip((self.scores(texts) - self.middle) / self.spread, -30.0, 30.0)
+        return np.where(np.isnan(z), LEAST_WEIGHT, np.maximum(LEAST_WEIGHT, 1 / (1 + np.exp(-1.5 - z))))
+
+
+def tallied(texts: Iterable[str | None]) -> np.ndarray:
+    """How often each cell of pairs, then of triples, occurs in the texts."""
+    cells, waiting, size = np.zeros(PAIRS + TRIGRAMS, np.int64), [], 0
+    for text in texts:
+        if text:
+            two, three = Quality._cells(text)
+            waiting += [two, three + np.uint32(PAIRS)]
+            size += 2 * len(two)
+        if size > MOST_WAITING:
+            cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
+            waiting, size = [], 0
+    return cells + np.bincount(np.concatenate(waiting), minlength=len(cells)) if waiting else cells
+
+
+def middle_and_spread(values: list[float], times: list[int]) -> tuple[float, float]:
+    """The median of values that occur so many times, and their spread by the median distance from it; NaN doesn't count."""
 
+    def median(x: np.ndarray) -> float:
+        order = np.argsort(x, kind="stable")
+        upto = np.cumsum(n[order])
+        low, high = np.searchsorted(upto, [(upto[-1] - 1) // 2 + 1, upto[-1] // 2 + 1])
+        return float((x[order[low]] + x[order[high]]) / 2)
 
-def fitted_quality(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 0) -> Quality:
-    """The model of at most `sample_docs` documents."""
-    rows = docs.filter("text <> ''").orderBy(F.xxhash64(F.lit(seed), "doc_id")).select("text").limit(sample_docs)
-    return Quality(rows.toPandas()["text"].tolist())
+    x, n = np.array(values, np.float64), np.array(times, np.int64)
+    x, n = x[~np.isnan(x)], n[~np.isnan(x)]
+    if not len(x):
+        return 0.0, 0.1
+    middle = median(x)
+    return middle, max(0.1, 1.4826 * median(np.abs(x - middle)))
+
+
+def fitted_quality(docs: DataFrame) -> Quality:
+    """The model of all documents. Each task sends the cells it met once, however many documents it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = tallied(text for batch in batches for text in batch.column(0).to_pylist())
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
+
+    rows = spread(docs.filter("text <> ''").select("text")).mapInArrow(run, "cell int, n bigint")
+    # At most PAIRS + TRIGRAMS rows.
+    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros(PAIRS + TRIGRAMS, np.int64)
+    cells[found["cell"]] = found["n"]
+    return Quality.of(cells)
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -91,19 +142,27 @@ def uniform(seed: int, *columns: str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def sized_documents(docs: DataFrame, seed: int = 0, path: str | None = None, weight: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def sized_documents(docs: DataFrame, seed: int = 0, path: str | None = None, weight: Column | None = None) -> DataFrame:
     """doc_id, source, n_tokens and key of every document, computed once.
 
     A given weight that is null or not above 0 counts as LEAST_WEIGHT.
     """
     if weight is None:
-        quality = Shared(docs.sparkSession, fitted_quality(docs, sample_docs, seed))
-        sized = encode_column(docs.select("doc_id", "source", "text"), "text", "n_tokens", path, True, ("weight", lambda texts: quality.value.weights(texts)))
-    else:
-        given = F.when(weight > 0, weight).otherwise(F.lit(LEAST_WEIGHT)).cast("double")
-        sized = encode_column(docs.select("doc_id", "source", "text", given.alias("weight")), "text", "n_tokens", path, True)
-    key = -F.log(uniform(seed, "doc_id")) / F.col("weight")
-    return cut(sized.select("doc_id", "source", "n_tokens", key.alias("key")))
+        quality = Shared(docs.sparkSession, fitted_quality(docs))
+        sized = cut(encode_column(docs.select("doc_id", "source", "text"), "text", "n_tokens", path, True, ("score", lambda texts: quality.value.scores(texts))))
+        # Scores have few digits, so there are few of them.
+        found = sized.groupBy("score").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        middle, width = middle_and_spread(found["score"].tolist(), found["n"].tolist())
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (F.col("score") - F.lit(middle)) / F.lit(width)))
+        by_score = F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.exp(-1.5 - z)))
+        return sized.select("doc_id", "source", "n_tokens", _key(seed, F.when(F.isnan("score"), F.lit(LEAST_WEIGHT)).otherwise(by_score)))
+    given = F.when(weight > 0, weight).otherwise(F.lit(LEAST_WEIGHT)).cast("double")
+    sized = encode_column(docs.select("doc_id", "source", "text", given.alias("weight")), "text", "n_tokens", path, True)
+    return cut(sized.select("doc_id", "source", "n_tokens", _key(seed, F.col("weight"))))
+
+
+def _key(seed: int, weight: Column) -> Column:
+    return (-F.log(uniform(seed, "doc_id")) / weight).alias("key")
 
 
 def ranged(sized: DataFrame) -> DataFrame:

@@ -103,3 +103,27 @@ def test_shares_like_the_mixture(spark, sf):
         own = [x for x in mixed if x["source"] == r["source"]]
         assert (r["n_docs"], r["tokens"]) == (len(own), sum(x["copies"] * x["n_tokens"] for x in own))
         assert abs(r["actual_share"] - r["tokens"] / whole) < 1e-12
+
+
+def test_quality_comes_from_all_documents(spark):
+    """More documents than the former sample of 4,000; rare ones count too."""
+    texts = [f"the values for pump {i % 97} were recorded twice" for i in range(5200)] + [f"zq{i:04d}" for i in range(0, 900, 3)] + ["", None, "ab"]
+    docs = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    want, got = mixing.Quality([t for t in texts if t]), mixing.fitted_quality(docs)
+    assert got.pairs.sum() == sum(len(t) - 2 for t in texts if t and len(t) > 2)
+    assert (got.pairs == want.pairs).all() and (got.triples == want.triples).all()
+    keys = {r["doc_id"]: r["key"] for r in mixing.sized_documents(docs).collect()}
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(0, "doc_id").alias("u")).collect()}
+    assert len(keys) == len(texts)
+    for i, w in enumerate(want.weights(texts)):
+        assert keys[i] == pytest.approx(-math.log(u[i]) / w, rel=1e-9)
+
+
+def test_middle_and_spread():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 100):
+        x = np.round(rng.normal(size=n), 1)
+        values, times = np.unique(x, return_counts=True)
+        middle, spread = mixing.middle_and_spread([*values, math.nan], [*times, 5])
+        assert middle == np.median(x) and spread == pytest.approx(max(0.1, 1.4826 * np.median(np.abs(x - np.median(x)))))
+    assert mixing.middle_and_spread([], []) == (0.0, 0.1)
