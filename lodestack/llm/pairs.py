@@ -9,15 +9,15 @@ A response is flagged with the first of these defects that it has:
   Languages have posteriors by naive Bayes over character n-grams of the words that begin
   with a small letter, so that names don't count (in scripts without small letters all
   words count, in those without spaces all characters); nor do references, keyword lists,
-  and all fields of a record but its last. The model is fitted on a bounded sample of
-  prompts (at most `max_sample`), named by their script or their function words;
+  and all fields of a record but its last. The model is fitted on all prompts that their
+  script or their function words name;
 * ``truncated``: brackets or fences stay open, records lack their closing marker, or the
   last characters are unlikely to end a line of its kind. That likelihood comes from the
   n-grams of all responses: how often each ends a line, against how often it occurs.
 
-Both models are fitted on bounded samples (`max_sample` prompts and responses); n-grams of
-line ends are counted in all responses. Their table has a number of bins that follows from
-the distinct n-grams of the sample, at most MOST_BINS.
+All models are fitted on all rows: words, sentences and n-grams are counted in tasks, and
+the driver gets tables of bounded size. That of line ends has a number of bins that follows
+from the distinct n-grams of all responses, at most MOST_BINS.
 
 Defined cases: a null response is empty; a null prompt can't be echoed and asks for no
 language; responses of fewer than MIN_WORDS words have no language; repeated rows are
@@ -29,7 +29,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.refusals import Refusals
-from lodestack.session import Shared, spread, table
+from lodestack.session import Shared, cores, cut, spread, table
 
 MIN_WORDS = 4
-MAX_SAMPLE = 6000
+# Rows for which the bounds of single counts are meant; for more, counts are divided.
+USUAL_ROWS = 6000
+MOST_COUNTED = 200_000
 MARGIN = 4.0
 LEAST_END = 0.12
 LEAST_BINS, MOST_BINS = 1 << 14, 1 << 19
@@ -217,21 +219,78 @@ def hash_text(text: str) -> int:
     return h & 0xFFFF
 
 
+def grams_of(words: Iterable[tuple[str, int]], scale: float) -> np.ndarray:
+    """Counts of the n-grams of words that occur so many times, at most 50 times scale of a word."""
+    out = np.zeros(1 << 16, np.int64)
+    for word, n in words:
+        np.add.at(out, word_grams(word), min(n, round(50 * scale)))
+    return out
+
+
+def summed(batches: Iterable[Iterable[tuple]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of how often each tuple occurs. One that occurs in several frames is to be summed; they only bound memory."""
+    seen: Counter = Counter()
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({**{name: [k[i] for k in seen] for i, name in enumerate(names)}, "n": list(seen.values())})
+
+    for batch in batches:
+        for key in batch:
+            seen[key] += 1
+            if len(seen) >= MOST_COUNTED:
+                yield frame()
+                seen.clear()
+    if seen:
+        yield frame()
+
+
 class Languages:
     """Naive Bayes over hashed character n-grams."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], scale: float = 1.0):
         counts: dict[str, Counter] = {}
         for text in texts:
             lang = named_language(text)
             if lang:
                 counts.setdefault(lang, Counter()).update(small_words(text))
-        total = sum(sum(c.values()) for c in counts.values())
-        self.names = sorted(k for k, c in counts.items() if sum(c.values()) >= max(50, 0.002 * total))
+        grams = {lang: grams_of(c.items(), scale) / scale for lang, c in counts.items()}
+        self._fit({lang: sum(c.values()) for lang, c in counts.items()}, grams)
+
+    @classmethod
+    def fitted(cls, rows: DataFrame, column: str, scale: float = 1.0) -> Languages:
+        """The model of all texts of a column. The driver gets as many counts as there are languages and bins."""
+
+        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from summed((((lang, w) for text in batch[column] if (lang := named_language(text)) for w in small_words(text)) for batch in batches), ["lang", "word"])
+
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own: dict[str, np.ndarray] = {}
+            many: Counter = Counter()
+            for batch in batches:
+                for lang, part in batch.groupby("lang"):
+                    own[lang] = own.get(lang, 0) + grams_of(zip(part["word"], part["n"]), scale)
+                    many[lang] += int(part["n"].sum())
+            for lang, found in own.items():
+                at = np.flatnonzero(found)
+                yield pd.DataFrame({"lang": lang, "bin": [-1, *at], "n": [many[lang], *found[at]]})
+
+        counts = rows.filter(F.col(column).isNotNull()).select(column).mapInPandas(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        found = counts.mapInPandas(grams, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+        totals, tables = {}, {}
+        for lang, part in found.groupby("lang"):
+            many = part["bin"] < 0
+            totals[lang], tables[lang] = int(part["n"][many].sum()), np.zeros(1 << 16, np.int64)
+            tables[lang][part["bin"][~many]] = part["n"][~many]
+        new = cls.__new__(cls)
+        new._fit(totals, {lang: x / scale for lang, x in tables.items()})
+        return new
+
+    def _fit(self, totals: dict[str, int], grams: dict[str, np.ndarray]) -> None:
+        """Of how many words each language has, and the counts of its n-grams."""
+        self.names = sorted(k for k, n in totals.items() if n >= max(50, 0.002 * sum(totals.values())))
         table_ = np.full((max(1, len(self.names)), 1 << 16), 0.05)
         for row, lang in enumerate(self.names):
-            for word, n in counts[lang].items():
-                np.add.at(table_[row], word_grams(word), min(n, 50))
+            table_[row] += grams[lang]
         self.log = np.log(table_ / table_.sum(1, keepdims=True)).astype(np.float32)
         self.memo: dict[str, np.ndarray] = {}
 
@@ -303,13 +362,39 @@ def gram_bins(data: np.ndarray, n: int, bins: int) -> np.ndarray:
     return (gram_hashes(data, n) >> np.uint64(65 - bins.bit_length())).astype(np.int64)
 
 
-def bins_for(texts: list[str]) -> int:
-    """Bins for four times the distinct 6-byte n-grams of the texts, between the bounds."""
-    data = np.frombuffer("\n".join(t for t in texts if t).encode("utf-8", "replace"), np.uint8)
-    many = 4 * len(np.unique(gram_hashes(data, 6)))
+def bins_for(rows: DataFrame, column: str) -> int:
+    """Bins for four times the distinct 6-byte n-grams of all responses, between the bounds.
+
+    A task that has met more of them than the most bins are for says so instead of sending them.
+    """
+    most = MOST_BINS // 4
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                if len(seen) <= most:
+                    bodies = [body_of(t)[0].encode("utf-8", "replace") for t in batch[column].iloc[at : at + 200]]
+                    seen = np.unique(np.concatenate([seen, *(gram_hashes(np.frombuffer(x, np.uint8), 6) for x in bodies)]))
+        full = len(seen) > most
+        yield pd.DataFrame({"gram": np.zeros(1, np.int64) if full else seen.view(np.int64), "full": full})
+
+    found = rows.select(column).mapInPandas(run, "gram bigint, full boolean").distinct().agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).first()
+    many = 4 * (most if found["full"] else found["n"])
     return min(MOST_BINS, max(LEAST_BINS, 1 << max(0, many - 1).bit_length()))
 
 
+def sentence_counts(rows: DataFrame, column: str) -> DataFrame:
+    """sentence and n: how often each sentence stands in the responses."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from summed((((s,) for text in batch[column] for s in sentences(body_of(text)[0])) for batch in batches), ["sentence"])
+
+    # As many partitions as Python work needs, which adaptive execution would join.
+    parts = max(3 * cores(rows.sparkSession), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(column).mapInPandas(run, "sentence string, n bigint").repartition(parts, "sentence").groupBy("sentence").agg(F.sum("n").alias("n"))
+
+
 def end_counts(rows: DataFrame, column: str, bins: int) -> DataFrame:
     """How often each n-gram occurs in a line of each kind and how often it ends one."""
 
@@ -410,14 +495,12 @@ def defect_of(prompt: str | None, response: str | None, languages: Languages, en
 _STATE: dict = {}
 
 
-def defects(rows: DataFrame, id_col: str, prompt_col: str, response_col: str, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def defects(rows: DataFrame, id_col: str, prompt_col: str, response_col: str) -> DataFrame:
     """id and defect of every defective pair."""
-    rows = rows.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"))
-    sample = rows.orderBy(F.xxhash64("id", "prompt")).select("prompt", "response").limit(max_sample).toPandas()
-    bodies = [body_of(r)[0] for r in sample["response"]]
-    refusals, bins = Refusals([x for b in bodies for x in sentences(b)]), bins_for(bodies)
-    rows = spread(rows)
-    languages = Languages(sample["prompt"].dropna().tolist())
+    rows = spread(rows.select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response")))
+    scale = max(1.0, rows.count() / USUAL_ROWS)
+    refusals = Refusals.fitted(cut(sentence_counts(rows, "response")), scale=scale)
+    languages, bins = Languages.fitted(rows, "prompt", scale), bins_for(rows, "response")
     models = Shared(rows.sparkSession, (languages, Ends(end_counts(rows, "response", bins).toPandas(), bins), refusals))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,6 +53,10 @@ class Shared:
     def value(self):
         return self._box.value
 
+    def drop(self) -> None:
+        """Remove it from memory and disk; nothing can use it afterwards."""
+        self._box.destroy()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""

@@ -70,3 +70,45 @@ def test_frames(spark, sf):
     assert ("1", "empty") in got and all(i != "2" for i, _ in got)
     assert P.defects(df.limit(0), "id", "p", "r").count() == 0
     assert P.p5_found(spark, sf).count() > 0
+
+
+def test_models_come_from_all_pairs(spark):
+    """More pairs than the former sample of 6,000: all models are those of all rows."""
+    prompts = [*(f"{PROMPTS[0]} {i % 50}" for i in range(6700)), *PROMPTS[1:4] * 3, None]
+    responses = [*(f"The value w{i} of pump {i % 70} is in the report. It was recorded twice." for i in range(6600)), *["I'm sorry, but I can't help with the weir."] * 3, *["The weir was old."] * 57, *GOOD * 24, None, ""]
+    rows = [(str(i), p, r) for i, (p, r) in enumerate(zip(prompts, responses))]
+    df = spark.createDataFrame(rows, "id string, prompt string, response string").repartition(7).cache()
+    used = [r[2] for r in rows]
+
+    got, want = P.Languages.fitted(df, "prompt", 1.5), P.Languages([p for _, p, _ in rows if p], 1.5)
+    assert got.names == want.names and (got.log == want.log).all()
+
+    each = {r["sentence"]: r["n"] for r in P.sentence_counts(df, "response").collect()}
+    said = [x for r in used for x in P.sentences(P.body_of(r)[0])]
+    assert len(said) > 12_000 and each == dict(P.Counter(said))
+    got, want = P.Refusals.fitted(P.sentence_counts(df, "response"), scale=1.5), P.Refusals(said, scale=1.5)
+    assert got.no.total == want.no.total and got.many == want.many and got.yes.pairs == want.yes.pairs
+    for a, b in ((got.no.words, want.no.words), (got.no.pairs, want.no.pairs), (got.no.before, want.no.before)):
+        assert (a.counts == b.counts).all()
+    assert got.declines("I'm sorry, but I can't help with the weir.") and not got.declines("It was recorded twice.")
+
+    grams = {b[i : i + 6] for r in used for b in [P.body_of(r)[0].encode()] for i in range(len(b) - 5)}
+    assert P.bins_for(df, "response") == 1 << (4 * len(grams) - 1).bit_length() < P.MOST_BINS
+    found = {r["id"]: r["defect"] for r in P.defects(df, "id", "prompt", "response").collect()}
+    assert all(found[str(i)] == "refusal" for i in range(6600, 6603)) and "refusal" not in [found.get(str(i)) for i in range(6600)]
+
+
+def test_bins_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAST_BINS", 4)
+    monkeypatch.setattr(P, "MOST_BINS", 64)
+    for text, bins in (("", 4), ("abcdef", 4), ("abcdefgh", 16), ("".join(map(chr, range(40, 120))), 64)):
+        assert P.bins_for(spark.createDataFrame([(text,), (text,), (None,)], "r string"), "r") == bins
+
+
+def test_more_of_the_same_changes_no_score():
+    said = [x for p in PROMPTS[:4] for x in P.sentences(p)] * 20 + GOOD * 20 + ["I'm sorry, but I can't help with the weir."] * 2
+    one, many = P.Refusals(said), P.Refusals(said * 30, scale=30.0)
+    for s in (*said[-3:], "I cannot help you with that.", "The pump cannot be moved."):
+        assert many.score(s) == pytest.approx(one.score(s), rel=1e-9)
+    assert one.declines(said[-1]) and many.declines(said[-1])
+    assert (abs(P.Languages(PROMPTS * 30, 30.0).log - P.Languages(PROMPTS).log) < 1e-5).all()
